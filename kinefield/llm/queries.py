@@ -39,13 +39,39 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), width=2)
 
 
+def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinefield.llm.packing import pack
+    from kinefield.llm.tokens import public_vocabulary
+
+    pieces = pack(read_table(spark, sf_dir, "documents"), public_vocabulary(), window=1024, end_id=0)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinefield.llm.common import Scratch
+    from kinefield.llm.tokenfile import read_shards, write_shards
+    from kinefield.llm.tokens import public_vocabulary
+
+    scratch = Scratch(spark, "tokens")
+    written = write_shards(read_table(spark, sf_dir, "documents"), scratch.path("shards"), public_vocabulary(), end_id=2)
+    rows = read_shards(scratch.table(written, "manifest"))
+    return rows.select(
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 def op10_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinefield.llm.sharding import minimax_shards
 
     return minimax_shards(read_table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_minhash_near_dedup, op10_minimax_sharding)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_minhash_near_dedup, op6_sum_of_squares_packing, op7_token_file, op10_minimax_sharding)}
 
 _TAILS = r"\|im_start\|>|\|im_end\|>|/?s>|/?INST\]|</?SYS>>"
 ORACLES: dict[str, str] = {
