@@ -39,6 +39,15 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), width=2)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinefield.llm.langid import fit, held_out, identify
+
+    docs = read_table(spark, sf_dir, "documents")
+    model = fit(docs.filter(~held_out(F.col("doc_id"))))
+    found = identify(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinefield.llm.packing import pack
     from kinefield.llm.tokens import public_vocabulary
@@ -71,7 +80,7 @@ def op10_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards(read_table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_minhash_near_dedup, op6_sum_of_squares_packing, op7_token_file, op10_minimax_sharding)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_minhash_near_dedup, op5_language_id, op6_sum_of_squares_packing, op7_token_file, op10_minimax_sharding)}
 
 _TAILS = r"\|im_start\|>|\|im_end\|>|/?s>|/?INST\]|</?SYS>>"
 ORACLES: dict[str, str] = {
