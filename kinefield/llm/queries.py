@@ -74,13 +74,19 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinefield.llm.substring import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinefield.llm.sharding import minimax_shards
 
     return minimax_shards(read_table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_minhash_near_dedup, op5_language_id, op6_sum_of_squares_packing, op7_token_file, op10_minimax_sharding)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_minhash_near_dedup, op5_language_id, op6_sum_of_squares_packing, op7_token_file, op9_substring_dedup, op10_minimax_sharding)}
 
 _TAILS = r"\|im_start\|>|\|im_end\|>|/?s>|/?INST\]|</?SYS>>"
 ORACLES: dict[str, str] = {
