@@ -145,13 +145,18 @@ class Scanner:
         key = np.concatenate([band, np.maximum(band - 1, 0)]) * len(self.windows) + np.concatenate([owner, owner])
         keys, first, counts = np.unique(key, return_index=True, return_counts=True)
         full = counts >= self.needed[keys % len(self.windows)]
-        where = np.concatenate([where, where])
+        first = first[full] % len(where)
         found = {}
-        for k, at in zip(keys[full].tolist(), where[first[full]].tolist(), strict=True):
+        for k, at, exact in zip(
+            keys[full].tolist(), where[first].tolist(), (diagonal[first] - self.reach).tolist(), strict=True
+        ):
             window = k % len(self.windows)
             item, pattern, edits, _ = self.windows[window]
             row = int(np.searchsorted(offsets, at, side="right")) - 1
             low, high = int(offsets[row]), int(offsets[row + 1])
+            if exact >= low and exact + len(pattern) <= high and (data[exact : exact + len(pattern)] == pattern).all():
+                found[row, item, exact, exact + len(pattern)] = 0  # nothing is left to align
+                continue
             start = (k // len(self.windows)) * (edits + 1) - self.reach  # the least diagonal
             a, b = max(low, start - edits), min(high, start + 2 * (edits + 1) + len(pattern) + edits)
             if b - a < len(pattern) - edits:
