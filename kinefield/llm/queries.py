@@ -33,6 +33,24 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinefield.llm.common import Scratch
+    from kinefield.llm.warc import normalise, read_records, write_archives
+
+    scratch = Scratch(spark, "warc")
+    pages = read_table(spark, sf_dir, "pages")
+    written = scratch.table(write_archives(pages, scratch.path("whole"), scratch, min_bytes=0), "written")
+    normal = scratch.table(normalise(written, scratch.path("normal")), "normalised")
+    scratch.drop("whole")
+    return read_records(normal).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinefield.llm.fingerprints import fingerprints
+
+    return fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinefield.llm.near_dedup import near_duplicates
 
@@ -74,6 +92,12 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinefield.llm.decontam import find_contamination
+
+    return find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinefield.llm.substring import remove_repeats
 
@@ -86,7 +110,21 @@ def op10_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards(read_table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_minhash_near_dedup, op5_language_id, op6_sum_of_squares_packing, op7_token_file, op9_substring_dedup, op10_minimax_sharding)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_formatting,
+        op2_warc_normaliser,
+        op3_prefix_fingerprints,
+        op4_minhash_near_dedup,
+        op5_language_id,
+        op6_sum_of_squares_packing,
+        op7_token_file,
+        op8_benchmark_decontamination,
+        op9_substring_dedup,
+        op10_minimax_sharding,
+    )
+}
 
 _TAILS = r"\|im_start\|>|\|im_end\|>|/?s>|/?INST\]|</?SYS>>"
 ORACLES: dict[str, str] = {
@@ -105,6 +143,20 @@ select conv_id, cast(n_turns as bigint) as n_turns, sha256(whole) as turns_sha25
   cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256,
   cast(formatted_chars as bigint) as formatted_chars
 from said""",
+    "op2_warc_normaliser": """
+with rows as (
+  select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as size from pages),
+low as (select html, max(page_id) as top from rows group by html),
+digests as (select page_id, html, size, sha1(html) as hex from rows),
+bits as (select page_id, string_agg(lpad(bin(cast('0x' || hex[i] as integer)), 4, '0'), '' order by i) as b
+  from digests, range(1, 41) r(i) group by page_id),
+coded as (select page_id, string_agg('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+    1 + list_reduce(list_transform(range(1, 6), lambda k: cast(b[5 * j + k] as integer)), lambda x, y: 2 * x + y)
+  ], '' order by j) as code from bits, range(0, 32) t(j) group by page_id)
+select d.page_id, cast(d.size as bigint) as payload_bytes, c.code as payload_digest,
+  case when low.top = d.page_id then 'response' else 'revisit' end as record_type,
+  case when low.top = d.page_id then null else low.top end as refers_to
+from digests d join low on low.html = d.html join coded c on c.page_id = d.page_id""",
     "op4_minhash_near_dedup": """
 with recursive w as (
   select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
