@@ -1,5 +1,65 @@
-"""The corpus pipeline: stages over the documents table."""
-STAGES = []
+"""The corpus pipeline: documents in, packed pieces out.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next stage's ``docs``. All but the last return the columns
+of ``docs``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinefield.llm.common import Scratch, read_table
+from kinefield.llm.decontam import drop_contaminated
+from kinefield.llm.langid import fit, held_out, keep_identified
+from kinefield.llm.near_dedup import drop_near_duplicates
+from kinefield.llm.packing import pack
+from kinefield.llm.substring import remove_repeats
+from kinefield.llm.tokens import public_vocabulary
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with enough certainty."""
+    return keep_identified(docs, fit(docs.filter(~held_out(F.col("doc_id")))))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group (five-word shingles, 0.8)."""
+    return drop_near_duplicates(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that an earlier one has; n_chars follows the text."""
+    kept = remove_repeats(docs).drop("removed")
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in windows of 1024 ids."""
+    return pack(docs, public_vocabulary(), window=1024, end_id=0)
+
+
+STAGES = [
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: SQL can't express the language model, MinHash components or token ids.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
