@@ -16,8 +16,6 @@ tree and message id are alternatives, as of one message: the least (role, text)
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,31 +46,45 @@ def _role_back(role: Column) -> Column:
     return F.replace(plain, F.lit("\\\\"), F.lit("\\"))
 
 
-def _same(*pairs: tuple[Column, Column]) -> Column:
-    return reduce(lambda x, y: x & y, (a.eqNullSafe(b) for a, b in pairs))
-
-
 def paths(messages: DataFrame, top: int, scratch: common.Scratch) -> DataFrame:
     """(tree, leaf, path, path_score, branch): the ``top`` best paths of each tree."""
     links = messages.groupBy("tree", "msg").agg(F.min("parent").alias("parent"), F.max("score").alias("score"))
     links = scratch.table(links, "links")
-    child = links.select(F.col("tree").alias("ct"), F.col("msg").alias("cm"), F.col("parent").alias("cp"), F.col("score").alias("cs"))
-    known = links.select(F.col("tree").alias("ct"), F.col("msg").alias("cm"))
-    roots = links.join(known, _same((F.col("tree"), F.col("ct"))) & (F.col("parent") == F.col("cm")), "left_anti")
-    front = roots.select("tree", F.col("msg").alias("leaf"), F.array("msg").alias("path"), F.col("score").alias("total"))
+    tree = F.col("tree").eqNullSafe(F.col("ct"))
+    parents = links.filter("parent is not null").select(F.col("tree").alias("ct"), F.col("parent").alias("cm")).distinct()
+    known = links.select(F.col("tree").alias("ct"), F.col("msg").alias("cm"), F.lit(True).alias("known"))
+    # Whether each message is answered, and its parent if that is there.
+    links = links.join(parents.withColumn("answered", F.lit(True)), tree & (F.col("msg") == F.col("cm")), "left")
+    links = links.drop("ct", "cm").join(known, tree & (F.col("parent") == F.col("cm")), "left")
+    links = links.select(
+        "tree", "msg", "score", F.col("answered").isNull().alias("leaf"), F.when(F.col("known"), F.col("parent")).alias("parent")
+    )
+    links = scratch.table(links, "nodes")
+    child = links.filter("parent is not null").select(
+        F.col("tree").alias("ct"), F.col("msg").alias("cm"), F.col("parent").alias("cp"), F.col("score").alias("cs"), F.col("leaf").alias("cl")
+    )
+    front = links.filter("parent is null").select(
+        "tree", F.col("msg").alias("end"), "leaf", F.array("msg").alias("path"), F.col("score").alias("total")
+    )
     done, level = None, 0
     while True:
         front = scratch.table(front, f"level-{level}")
-        if level and front.isEmpty():
-            break
-        ends = front.join(child, _same((F.col("tree"), F.col("ct"))) & (F.col("leaf") == F.col("cp")), "left_anti")
+        ends = front.filter("leaf")
         done = ends if done is None else done.unionByName(ends)
-        front = front.join(child, _same((F.col("tree"), F.col("ct"))) & (F.col("leaf") == F.col("cp"))).select(
-            "tree", F.col("cm").alias("leaf"), F.concat("path", F.array("cm")).alias("path"), (F.col("total") + F.col("cs")).alias("total")
+        front = front.filter("not leaf")
+        if front.isEmpty():
+            break
+        front = front.join(child, tree & (F.col("end") == F.col("cp"))).select(
+            "tree",
+            F.col("cm").alias("end"),
+            F.col("cl").alias("leaf"),
+            F.concat("path", F.array("cm")).alias("path"),
+            (F.col("total") + F.col("cs")).alias("total"),
         )
         level += 1
+    done = done.withColumnRenamed("end", "leaf_id")
     score = F.col("total") / F.size("path")
-    ranked = done.select("tree", "leaf", "path", score.alias("path_score"))
+    ranked = done.select("tree", F.col("leaf_id").alias("leaf"), "path", score.alias("path_score"))
     best = Window.partitionBy("tree").orderBy(F.col("path_score").desc(), F.col("leaf"))
     return ranked.withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= top)
 
@@ -94,7 +106,7 @@ def format_threads(messages: DataFrame, top: int = 1, loss_role: str = "assistan
     )
     chosen = paths(messages, top, scratch).select("tree", "branch", "path_score", F.posexplode("path").alias("pos", "step"))
     said = messages.groupBy(F.col("tree").alias("mt"), F.col("msg").alias("mm")).agg(F.min(F.struct("role", "text")).alias("m"))
-    turns = chosen.join(said, _same((F.col("tree"), F.col("mt"))) & (F.col("step") == F.col("mm")))
+    turns = chosen.join(said, F.col("tree").eqNullSafe(F.col("mt")) & (F.col("step") == F.col("mm")))
     head = F.concat(F.lit(START), _role(F.col("m.role")), F.lit("\n"))
     turn = F.struct(
         "pos",
