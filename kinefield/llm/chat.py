@@ -1,7 +1,8 @@
 """Reply trees to formatted conversations, with a loss mask; DataFrame functions only.
 
-Root-to-leaf paths are enumerated by iterated self-joins, one a level, which carry
-ids and scores but no texts. The branches of a tree are ranked by their mean score;
+Root-to-leaf paths are enumerated by iterated self-joins, each of which doubles the
+levels that a message looks up, so a path of n messages takes about log2(n) of them. They
+carry ids and scores but no texts. The branches of a tree are ranked by their mean score;
 the texts of chosen paths are joined at the end.
 
 A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``. A control string in a text gets a
@@ -9,8 +10,8 @@ backslash after its first character; one that has backslashes there gets one mor
 no text holds a control string, and dropping one backslash restores it.
 
 Defined results: null text or role is empty. A message whose parent is missing or null
-is a root. A null tree id is a tree of its own. Messages on a cycle have no root and
-belong to no path. Of equal scores the smaller leaf id ranks first. Rows that share a
+is a root. A null tree id is a tree of its own. Messages on a cycle, or
+below one, have no root and belong to no path. Of equal scores the smaller leaf id ranks first. Rows that share a
 tree and message id are alternatives, as of one message: the least (role, text) counts.
 """
 
@@ -47,7 +48,7 @@ def _role_back(role: Column) -> Column:
 
 
 def paths(messages: DataFrame, top: int, scratch: common.Scratch) -> DataFrame:
-    """(tree, leaf, path, path_score, branch): the ``top`` best paths of each tree."""
+    """(tree, branch, path_score, pos, step): messages of the ``top`` best paths of each tree."""
     links = messages.groupBy("tree", "msg").agg(F.min("parent").alias("parent"), F.max("score").alias("score"))
     links = scratch.table(links, "links")
     tree = F.col("tree").eqNullSafe(F.col("ct"))
@@ -56,37 +57,56 @@ def paths(messages: DataFrame, top: int, scratch: common.Scratch) -> DataFrame:
     # Whether each message is answered, and its parent if that is there.
     links = links.join(parents.withColumn("answered", F.lit(True)), tree & (F.col("msg") == F.col("cm")), "left")
     links = links.drop("ct", "cm").join(known, tree & (F.col("parent") == F.col("cm")), "left")
-    links = links.select(
-        "tree", "msg", "score", F.col("answered").isNull().alias("leaf"), F.when(F.col("known"), F.col("parent")).alias("parent")
-    )
-    links = scratch.table(links, "nodes")
-    child = links.filter("parent is not null").select(
-        F.col("tree").alias("ct"), F.col("msg").alias("cm"), F.col("parent").alias("cp"), F.col("score").alias("cs"), F.col("leaf").alias("cl")
-    )
-    front = links.filter("parent is null").select(
-        "tree", F.col("msg").alias("end"), "leaf", F.array("msg").alias("path"), F.col("score").alias("total")
+    # ``up``: the ancestor 2**k levels up in round k; ``total`` and ``size`` are of the
+    # messages from this one up to it, or to the root where there is none.
+    nodes = links.select(
+        "tree",
+        "msg",
+        F.when(F.col("known"), F.col("parent")).alias("up"),
+        F.col("score").alias("total"),
+        F.lit(1).alias("size"),
+        F.col("answered").isNull().alias("leaf"),
     )
-    done, level = None, 0
+    jumps = []
     while True:
-        front = scratch.table(front, f"level-{level}")
-        ends = front.filter("leaf")
-        done = ends if done is None else done.unionByName(ends)
-        front = front.filter("not leaf")
-        if front.isEmpty():
+        nodes = scratch.table(nodes, f"round-{len(jumps)}")
+        # Only a cycle leads further up than there are messages.
+        if nodes.filter("up is not null").isEmpty() or nodes.count() < 1 << len(jumps):
             break
-        front = front.join(child, tree & (F.col("end") == F.col("cp"))).select(
+        jumps.append(nodes.filter("up is not null").select(F.col("tree").alias("ct"), F.col("msg").alias("cm"), "up"))
+        above = nodes.select(
+            F.col("tree").alias("ct"),
+            F.col("msg").alias("cm"),
+            F.col("up").alias("further"),
+            F.col("total").alias("ctotal"),
+            F.col("size").alias("csize"),
+        )
+        nodes = nodes.join(above, tree & (F.col("up") == F.col("cm")), "left").select(
             "tree",
-            F.col("cm").alias("end"),
-            F.col("cl").alias("leaf"),
-            F.concat("path", F.array("cm")).alias("path"),
-            (F.col("total") + F.col("cs")).alias("total"),
+            "msg",
+            F.col("further").alias("up"),
+            (F.col("total") + F.coalesce("ctotal", F.lit(0.0))).alias("total"),
+            (F.col("size") + F.coalesce("csize", F.lit(0))).alias("size"),
+            "leaf",
+        )
+    best = Window.partitionBy("tree").orderBy(F.col("path_score").desc(), F.col("msg"))
+    leaves = nodes.filter("leaf and up is null").withColumn("path_score", F.col("total") / F.col("size"))
+    steps = (
+        leaves.withColumn("branch", F.row_number().over(best))
+        .filter(F.col("branch") <= top)
+        .select("tree", "branch", "path_score", F.col("msg").alias("step"), (F.col("size") - 1).alias("pos"))
+    )
+    # From the largest jump down, each known message adds the one that far above it.
+    for k in reversed(range(len(jumps))):
+        here = F.struct("step", "pos")
+        there = F.struct(F.col("up").alias("step"), (F.col("pos") - (1 << k)).alias("pos"))
+        both = F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, there))
+        steps = (
+            steps.join(jumps[k], tree & (F.col("step") == F.col("cm")), "left")
+            .select("tree", "branch", "path_score", F.explode(both).alias("s"))
+            .select("tree", "branch", "path_score", "s.step", "s.pos")
         )
-        level += 1
-    done = done.withColumnRenamed("end", "leaf_id")
-    score = F.col("total") / F.size("path")
-    ranked = done.select("tree", F.col("leaf_id").alias("leaf"), "path", score.alias("path_score"))
-    best = Window.partitionBy("tree").orderBy(F.col("path_score").desc(), F.col("leaf"))
-    return ranked.withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= top)
+    return steps
 
 
 def format_threads(messages: DataFrame, top: int = 1, loss_role: str = "assistant") -> DataFrame:
@@ -104,7 +124,7 @@ def format_threads(messages: DataFrame, top: int = 1, loss_role: str = "assistan
         F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"),
     )
-    chosen = paths(messages, top, scratch).select("tree", "branch", "path_score", F.posexplode("path").alias("pos", "step"))
+    chosen = paths(messages, top, scratch)
     said = messages.groupBy(F.col("tree").alias("mt"), F.col("msg").alias("mm")).agg(F.min(F.struct("role", "text")).alias("m"))
     turns = chosen.join(said, F.col("tree").eqNullSafe(F.col("mt")) & (F.col("step") == F.col("mm")))
     head = F.concat(F.lit(START), _role(F.col("m.role")), F.lit("\n"))
