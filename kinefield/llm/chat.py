@@ -81,14 +81,15 @@ def paths(messages: DataFrame, top: int, scratch: common.Scratch) -> DataFrame:
             F.col("total").alias("ctotal"),
             F.col("size").alias("csize"),
         )
-        nodes = nodes.join(above, tree & (F.col("up") == F.col("cm")), "left").select(
+        risen = nodes.join(above, tree & (F.col("up") == F.col("cm"))).select(
             "tree",
             "msg",
             F.col("further").alias("up"),
-            (F.col("total") + F.coalesce("ctotal", F.lit(0.0))).alias("total"),
-            (F.col("size") + F.coalesce("csize", F.lit(0))).alias("size"),
+            (F.col("total") + F.col("ctotal")).alias("total"),
+            (F.col("size") + F.col("csize")).alias("size"),
             "leaf",
         )
+        nodes = risen.unionByName(nodes.filter("up is null"))
     best = Window.partitionBy("tree").orderBy(F.col("path_score").desc(), F.col("msg"))
     leaves = nodes.filter("leaf and up is null").withColumn("path_score", F.col("total") / F.col("size"))
     steps = (
