@@ -165,7 +165,8 @@ def near_duplicates(
     )
     members = classes.select("id", "n", F.explode("bands").alias("key"))
     crowded = members.groupBy("key").agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
-    crowded = crowded.filter("_low < _high").select("key")
+    # Written apart, so that a join with it can split the rows of a common key.
+    crowded = scratch.table(crowded.filter("_low < _high").select("key"), "crowded")
     # Only buckets with two texts at least; all later rounds read this table.
     members = scratch.table(members.join(crowded, "key"), "members")
     ids = scratch.table(members.select("id").distinct(), "ids")
@@ -194,6 +195,7 @@ def near_duplicates(
             .filter("_low < _high")
             .select("key", F.array(*(f"c{k}" for k in range(len(orders)))).alias("stars"))
         )
+        stars = scratch.table(stars, f"stars-{turn}")
         pairs = pool.join(stars, "key").select("id", "n", "label", F.explode(F.array_distinct("stars")).alias("star"))
         small, large = F.least("n", "star.n"), F.greatest("n", "star.n")
         offered = (
@@ -240,10 +242,15 @@ def _grouped(sig: DataFrame, classes: DataFrame, labels: DataFrame | None) -> Da
     )
 
 
-def drop_near_duplicates(documents: DataFrame, **options) -> DataFrame:
+def drop_near_duplicates(documents: DataFrame, broadcast_rows: int = 1_000_000, **options) -> DataFrame:
     """One document of each group, with its own columns; the smallest doc_id stays.
 
     Of rows that share a doc_id all stay or go together. Null doc_ids stay.
     """
-    gone = near_duplicates(documents, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    scratch = common.Scratch(documents.sparkSession, "kept")
+    gone = near_duplicates(documents, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+    gone = scratch.table(gone, "gone")
+    small = gone.limit(broadcast_rows + 1).count() <= broadcast_rows
+    return documents.join(
+        F.broadcast(gone) if small else gone, documents["doc_id"].cast("long") == F.col("_gone"), "left_anti"
+    )

@@ -95,7 +95,8 @@ def repeated_spans(documents: DataFrame, unit: str, min_words: int, scratch: com
     rank = F.struct(F.col("doc_id").alias("d"), F.col("row").alias("r"), F.col("start").alias("s"))
     # Repeated rows are one occurrence: their ranks are equal.
     groups = found.groupBy("digest", "words").agg(F.min(rank).alias("low"), F.max(rank).alias("high"))
-    groups = groups.filter("low < high").select("digest", "words", "low")
+    # Written apart, so that the join with it can split the rows of a common unit.
+    groups = scratch.table(groups.filter("low < high").select("digest", "words", "low"), "groups")
     later = found.join(groups, ["digest", "words"]).filter(rank > F.col("low"))
     later = later.select("doc_id", "row", "start", "end", "words").distinct()
     # Runs: a unit goes on from the one before it if no unit with words lies between; a

@@ -100,7 +100,8 @@ def revisits(pages: DataFrame, min_bytes: int, scratch: common.Scratch) -> DataF
     )
     light = scratch.table(light.filter(F.col("size") >= min_bytes).select("page_id", "sha"), "digests")
     groups = light.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
-    groups = groups.filter("n > 1 and refers_to is not null").select("sha", "refers_to")
+    # Written apart, so that the join with it can split the rows of a common payload.
+    groups = scratch.table(groups.filter("n > 1 and refers_to is not null").select("sha", "refers_to"), "groups")
     found = light.join(groups, "sha").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
     return scratch.table(found.select(F.col("page_id").alias("rp"), F.col("sha").alias("rs"), "refers_to").distinct(), "revisits")
 
