@@ -42,6 +42,7 @@ class OnePermutation:
         # first filled bin of its own probe order (optimal densification).
         self.ranks = rng.permuted(np.tile(np.arange(self.bins, dtype=np.uint16), (self.bins, 1)), axis=1)
         self.mults = rng.integers(1, 1 << 63, self.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.places = common.mix(np.arange(self.bins, dtype=np.uint64) + np.uint64(self.bins))
         self.salts = common.mix(np.arange(1, bands + 1, dtype=np.uint64) * common.BASE)
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
@@ -64,6 +65,23 @@ class OnePermutation:
         return common.mix((parts * self.mults).sum(axis=2, dtype=np.uint64) + self.salts)
 
 
+    def sketch(self, signatures: np.ndarray) -> np.ndarray:
+        """One bit of each bin, in 64-bit words."""
+        bits = np.packbits((common.mix(signatures ^ self.places) & np.uint64(1)).astype(np.uint8), axis=1)
+        words = np.zeros((len(bits), 8 * self.words), np.uint8)
+        words[:, : bits.shape[1]] = bits
+        return words.view(np.int64)
+
+    @property
+    def words(self) -> int:
+        return -(-self.bins // 64)
+
+    def far(self, percent: int) -> int:
+        """More differing bits than a pair at the least similarity has: six deviations."""
+        share = (1 - percent / 100) / 2
+        return int(self.bins * share + 6 * (self.bins * share * (1 - share)) ** 0.5) + 1
+
+
 @lru_cache
 def permutation(bands: int, rows: int) -> OnePermutation:
     return OnePermutation(bands, rows)
@@ -80,7 +98,7 @@ def shingle_sets(batch: pa.RecordBatch, width: int):
 
 
 def signatures(documents: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, band keys)."""
+    """(doc_id, n_shingles, digest of the set, band keys, sketch)."""
     import xxhash
 
     def run(batch):
@@ -88,23 +106,30 @@ def signatures(documents: DataFrame, width: int, bands: int, rows: int) -> DataF
         sets = [s for _, s in shingle_sets(batch, width)]
         full = [k for k, s in enumerate(sets) if len(s)]
         keys = np.zeros((len(sets), bands), np.uint64)
+        bits = np.zeros((len(sets), opm.words), np.int64)
         if full:
-            keys[full] = opm.keys(np.stack([opm.signature(sets[k]) for k in full]))
-        flat = pa.array(keys.view(np.int64).ravel())
+            made = np.stack([opm.signature(sets[k]) for k in full])
+            keys[full], bits[full] = opm.keys(made), opm.sketch(made)
         yield {
             "doc_id": batch.column("doc_id"),
             "n_shingles": np.array([len(s) for s in sets], np.int64),
             "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-            "bands": pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * bands, flat),
+            "bands": _lists(keys.view(np.int64)),
+            "bits": _lists(bits),
         }
 
     return common.map_arrow(
         documents.select(F.col("doc_id").cast("long"), "text"),
         run,
-        "doc_id long, n_shingles long, digest binary, bands array<long>",
+        "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>",
     )
 
 
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(ends, pa.array(rows.ravel()))
+
+
 def sets_of(documents: DataFrame, ids: DataFrame, width: int, broadcast_rows: int) -> DataFrame:
     """(id, shingles) of the documents in ``ids``."""
     small = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
@@ -160,7 +185,12 @@ def near_duplicates(
     classes = scratch.table(
         sig.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
+        .agg(
+            F.min("doc_id").alias("id"),
+            F.first("n_shingles").alias("n"),
+            F.first("bands").alias("bands"),
+            F.first("bits").alias("bits"),
+        ),
         "classes",
     )
     members = classes.select("id", "n", F.explode("bands").alias("key"))
@@ -168,7 +198,7 @@ def near_duplicates(
     # Written apart, so that a join with it can split the rows of a common key.
     crowded = scratch.table(crowded.filter("_low < _high").select("key"), "crowded")
     # Only buckets with two texts at least; all later rounds read this table.
-    members = scratch.table(members.join(crowded, "key"), "members")
+    members = scratch.table(members.join(crowded, "key").join(classes.select("id", "bits"), "id"), "members")
     ids = scratch.table(members.select("id").distinct(), "ids")
     sets = scratch.table(sets_of(documents, ids, width, broadcast_rows), "sets")
 
@@ -190,16 +220,21 @@ def near_duplicates(
             .agg(
                 F.min("label").alias("_low"),
                 F.max("label").alias("_high"),
-                *(F.min(F.struct(o.alias("o"), "id", "n", "label")).alias(f"c{k}") for k, o in enumerate(orders)),
+                *(F.min(F.struct(o.alias("o"), "id", "n", "label", "bits")).alias(f"c{k}") for k, o in enumerate(orders)),
             )
             .filter("_low < _high")
             .select("key", F.array(*(f"c{k}" for k in range(len(orders)))).alias("stars"))
         )
         stars = scratch.table(stars, f"stars-{turn}")
-        pairs = pool.join(stars, "key").select("id", "n", "label", F.explode(F.array_distinct("stars")).alias("star"))
+        pairs = pool.join(stars, "key").select("id", "n", "label", "bits", F.explode(F.array_distinct("stars")).alias("star"))
         small, large = F.least("n", "star.n"), F.greatest("n", "star.n")
+        differ = F.aggregate(
+            F.zip_with("bits", "star.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y
+        )
+        # Sizes or sketches that no pair at the least similarity has need no full sets.
         offered = (
             pairs.filter((F.col("label") != F.col("star.label")) & (100 * small >= percent * large))
+            .filter(differ <= permutation(bands, rows).far(percent))
             .select(F.least("id", "star.id").alias("a"), F.greatest("id", "star.id").alias("b"))
             .distinct()
         )
