@@ -13,12 +13,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Text bytes that a numpy pass works on at once; a longer text is a chunk alone.
-CHUNK_BYTES = 1 << 21
-#: Rows sent to Python in one Arrow batch; with long texts a batch stays small.
-BATCH_ROWS = 512
+CHUNK_BYTES = 1 << 19
+#: Rows that a numpy pass takes at most, and rows of an Arrow batch: long texts make
+#: batches of the default size, 10,000 rows, too large for a small executor.
+BATCH_ROWS, ARROW_ROWS = 512, 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +35,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/kinefield/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -50,6 +51,13 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let this session's Arrow batches have ARROW_ROWS rows, if they had the default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -63,6 +71,7 @@ def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
     from pyspark.sql.types import StructType
 
     struct = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(struct)
@@ -196,7 +205,3 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[n
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def crc32_column(column) -> F.Column:
-    return F.crc32(column)

@@ -237,4 +237,5 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **options) ->
                     gone |= [bool(x) for x in _judge(s, part.column("text"))]
                 yield part.filter(pa.array(~gone))
 
+    common.small_batches(documents.sparkSession)
     return documents.mapInArrow(run, documents.schema)

@@ -255,4 +255,5 @@ def keep_identified(documents: DataFrame, model: Model | None) -> DataFrame:
                 gone = np.concatenate([_predict(model, texts[a:b])[2] for a, b in _pieces(texts)])
                 yield part.filter(pa.array(~gone))
 
+    common.small_batches(documents.sparkSession)
     return documents.mapInArrow(run, documents.schema)

@@ -139,6 +139,7 @@ def pack(documents: DataFrame, vocabulary: str, window: int = 1024, end_id: int
                 yield from flush()
         yield from flush()
 
+    common.small_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )

@@ -24,7 +24,7 @@ from kinefield.llm import common
 #: Units kept by one Python worker: the first met.
 KEEP_UNITS = 1 << 20
 #: Characters encoded at once; a longer text is a batch alone.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
 
 OTHER, LETTER, SIGN, SPACE, LINE, BLANK = range(6)
 
@@ -59,9 +59,9 @@ class UnitTable:
 
     def __init__(self, keep: int):
         self.keep, self.count = keep, 0
-        self.mask = np.uint64(4 * keep - 1)
-        self.keys = np.zeros(4 * keep, np.uint64)
-        self.numbers = np.full(4 * keep, -1, np.int32)
+        self.mask = np.uint64(2 * keep - 1)
+        self.keys = np.zeros(2 * keep, np.uint64)
+        self.numbers = np.full(2 * keep, -1, np.int32)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each hash, or -1."""
