@@ -1,0 +1,17 @@
+"""Schemas of motion-vector rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+#: One row for each block vector: where it points to and from, in pixels.
+MV_FULL = T.StructType(
+    [T.StructField(n, T.IntegerType(), False) for n in ("frame", "source", "w", "h")]
+    + [T.StructField(n, T.DoubleType(), False) for n in ("src_x", "src_y", "dst_x", "dst_y")]
+    + [T.StructField("flags", T.DecimalType(20, 0), False)]
+    + [T.StructField(n, T.DoubleType(), False) for n in ("motion_x", "motion_y", "motion_scale")]
+)
+MV_COMPACT = T.StructType(
+    [T.StructField(n, T.IntegerType(), False) for n in ("frame", "source")]
+    + [T.StructField(n, T.ShortType(), False) for n in ("src_x", "src_y", "dst_x", "dst_y")]
+)
