@@ -26,11 +26,15 @@ def typed(rows: DataFrame) -> DataFrame:
     numbers = [c for c in FULL if c != "flags"]
     kept = [F.col(f"`{c}`") for n, c in names.items() if n not in FULL]
     flags = parse_flags(F.col(f"`{names['flags']}`")) if "flags" in names else F.lit(None)
+    texts = F.array(*(F.col(f"`{names[c]}`") if c in names else F.lit(None).cast("string") for c in numbers))
+    # One lambda over all fields keeps the generated code small.
     parsed = rows.select(
         *kept,
-        *((parse_double(F.col(f"`{names[c]}`")) if c in names else F.lit(None).cast("double")).alias(f"_{c}") for c in numbers),
+        F.transform(texts, parse_double).alias("_numbers"),
         F.coalesce(flags.cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)")).alias("_flags"),
-    ).filter("_frame is not null and _src_x is not null and _src_y is not null")
+    )
+    parsed = parsed.select(*kept, "_flags", *(F.get("_numbers", F.lit(k)).alias(f"_{c}") for k, c in enumerate(numbers)))
+    parsed = parsed.filter("_frame is not null and _src_x is not null and _src_y is not null")
     scale = F.col("_motion_scale")
     ends = {}
     for a in "xy":
