@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinefield.llm import common
@@ -163,6 +163,15 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _may_link(star: Column, percent: int, far: int) -> Column:
+    """Whether a row's text (n, bits, label) and a centre may be a link between components."""
+    differ = F.aggregate(
+        F.zip_with("bits", star["bits"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y
+    )
+    small, large = F.least("n", star["n"]), F.greatest("n", star["n"])
+    return (F.col("label") != star["label"]) & (100 * small >= percent * large) & (differ <= far)
+
+
 def near_duplicates(
     documents: DataFrame,
     width: int = 5,
@@ -179,8 +188,8 @@ def near_duplicates(
     at 0.8 with all but about one in 100,000. ``centres``: of a bucket, in a late round.
     ``rounds``: late rounds at most. ``broadcast_rows``: more ids are joined by shuffle.
     """
-    spark = documents.sparkSession
-    scratch = common.Scratch(spark, "near")
+    scratch = common.Scratch(documents.sparkSession, "near")
+    far = permutation(bands, rows).far(percent)
     sig = scratch.table(signatures(documents, width, bands, rows), "signatures")
     classes = scratch.table(
         sig.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
@@ -226,15 +235,10 @@ def near_duplicates(
             .select("key", F.array(*(f"c{k}" for k in range(len(orders)))).alias("stars"))
         )
         stars = scratch.table(stars, f"stars-{turn}")
-        pairs = pool.join(stars, "key").select("id", "n", "label", "bits", F.explode(F.array_distinct("stars")).alias("star"))
-        small, large = F.least("n", "star.n"), F.greatest("n", "star.n")
-        differ = F.aggregate(
-            F.zip_with("bits", "star.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y
-        )
         # Sizes or sketches that no pair at the least similarity has need no full sets.
         offered = (
-            pairs.filter((F.col("label") != F.col("star.label")) & (100 * small >= percent * large))
-            .filter(differ <= permutation(bands, rows).far(percent))
+            pool.join(stars, "key")
+            .select("id", F.explode(F.filter(F.array_distinct("stars"), lambda s: _may_link(s, percent, far))).alias("star"))
             .select(F.least("id", "star.id").alias("a"), F.greatest("id", "star.id").alias("b"))
             .distinct()
         )
