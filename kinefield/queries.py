@@ -185,9 +185,6 @@ def mv_compare_report(spark, sf_dir) -> DataFrame:
     return C.report(C.compare(*_two(spark, sf_dir)))
 
 
-_PART = F.element_at(F.array(*(F.lit(s) for s in V.SHAPES)), (F.col("user_id") % 4 + 1).cast("int"))
-
-
 @query(
     _BASE
     + """, shapes(code, turn8, turn, cx, cy, w, h, part, n) as (values
@@ -220,7 +217,8 @@ def mv_partition_expand(spark, sf_dir) -> DataFrame:
     )
     # Only the partitions that a shape has count for its use of a list.
     count = F.element_at(F.array(F.lit(1), F.lit(2), F.lit(2), F.lit(4)), (F.col("user_id") % 4 + 1).cast("int"))
-    made = rows.select("seq", "frame", F.col("bx").alias("mbx"), F.col("by_").alias("mby"), _PART.alias("shape"), F.slice(parts, F.lit(1), count).alias("parts"))
+    shape = F.element_at(F.array(*(F.lit(s) for s in V.SHAPES)), (F.col("user_id") % 4 + 1).cast("int"))
+    made = rows.select("seq", "frame", F.col("bx").alias("mbx"), F.col("by_").alias("mby"), shape.alias("shape"), F.slice(parts, F.lit(1), count).alias("parts"))
     return V.expand(made).select("seq", "frame", "turn", "cx", "cy", "w", "h", "source", "mv_x", "mv_y")
 
 
