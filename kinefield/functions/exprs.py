@@ -113,12 +113,12 @@ def hevc_slice_type(code: Column) -> Column:
 
 def parse_double(text: Column) -> Column:
     """A float of the usual forms, also inf and nan; null for anything else."""
-    text = F.trim(text)
-    form = r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$|^[+-]?(inf|infinity|nan)$"
-    word = F.regexp_extract(text, r"(?i)^([+-]?)(inf|nan)", 2)
-    minus = F.when(text.startswith("-"), -1.0).otherwise(1.0)
-    named = F.when(F.lower(word) == "inf", minus * float("inf")).when(F.lower(word) == "nan", F.lit(float("nan")))
-    return F.when(text.rlike(form), F.coalesce(named, text.try_cast("double")))
+    text = F.lower(F.trim(text))
+    infinite = [w for n in ("inf", "infinity") for w in (n, f"+{n}", f"-{n}")]
+    named = F.when(text.isin(infinite), F.when(text.startswith("-"), float("-inf")).otherwise(float("inf")))
+    named = named.when(text.isin("nan", "+nan", "-nan"), F.lit(float("nan")))
+    plain = F.translate(text, "0123456789+-.e", "") == ""
+    return F.when(plain, text.try_cast("double")).otherwise(named)
 
 
 def saturated_int(x: Column) -> Column:

@@ -12,6 +12,11 @@ FULL = ("frame", "source", "w", "h", "src_x", "src_y", "dst_x", "dst_y", "flags"
 COMPACT = ("frame", "source", "src_x", "src_y", "dst_x", "dst_y")
 
 
+def _once(x: Column) -> Column:
+    """x as a generated column, which later projections and filters don't compute again."""
+    return F.explode(F.array(x))
+
+
 def typed(rows: DataFrame) -> DataFrame:
     """Rows of text columns, named as in a header, as wide rows; other columns stay.
 
@@ -30,7 +35,7 @@ def typed(rows: DataFrame) -> DataFrame:
     # One lambda over all fields keeps the generated code small.
     parsed = rows.select(
         *kept,
-        F.transform(texts, parse_double).alias("_numbers"),
+        _once(F.transform(texts, parse_double)).alias("_numbers"),
         F.coalesce(flags.cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)")).alias("_flags"),
     )
     parsed = parsed.select(*kept, "_flags", *(F.get("_numbers", F.lit(k)).alias(f"_{c}") for k, c in enumerate(numbers)))
@@ -54,11 +59,10 @@ def typed(rows: DataFrame) -> DataFrame:
 
 def parse_lines(lines: DataFrame, header: str, column: str = "value") -> DataFrame:
     """Lines of text under a header as wide rows; no quoting, blank lines are skipped."""
-    fields = F.split(F.col(column), ",")
     names = [n.strip() for n in header.split(",")]
     rest = [F.col(c) for c in lines.columns if c != column]
-    rows = lines.filter(F.trim(column) != "")
-    return typed(rows.select(*rest, *(F.get(fields, F.lit(k)).alias(n) for k, n in enumerate(names))))
+    rows = lines.filter(F.trim(column) != "").select(*rest, _once(F.split(F.col(column), ",")).alias("_fields"))
+    return typed(rows.select(*rest, *(F.get("_fields", F.lit(k)).alias(n) for k, n in enumerate(names))))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
