@@ -39,6 +39,23 @@ def ue_bits(n: Column) -> Column:
     return F.concat(F.repeat(F.lit("0"), F.length(bits) - 1), bits)
 
 
+def se_bits(n: Column) -> Column:
+    """The signed Exp-Golomb code of n as text of 0 and 1."""
+    return ue_bits(F.when(n > 0, 2 * n - 1).otherwise(-2 * n))
+
+
+def fixed_bits(n: Column, width: Column | int) -> Column:
+    return F.lpad(F.bin(n.cast("long")), F.lit(width) if isinstance(width, int) else width, F.lit("0"))
+
+
+def packed(bits: Column) -> Column:
+    """Bytes of text of 0 and 1, with a stop bit and zeros after them."""
+    ended = F.concat(bits, F.lit("1"))
+    last = F.floor((F.length(ended) - 1) / 8).cast("int")
+    byte = lambda k: F.lpad(F.conv(F.rpad(F.substr(ended, k * 8 + 1, F.lit(8)), 8, "0"), 2, 16), 2, "0")
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), last), byte), ""))
+
+
 def ue_value(bits: Column) -> Column:
     """The number that an unsigned Exp-Golomb code stands for."""
     return (F.conv(F.ltrim(bits, F.lit("0")), 2, 10).cast("long") - 1).cast("int")

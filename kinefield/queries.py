@@ -11,7 +11,7 @@ from kinefield.operators import pictures as P
 from kinefield.operators import prediction as M
 from kinefield.operators import vectors as V
 from kinefield.plans import field
-from kinefield.sources import mvcsv, nal
+from kinefield.sources import mvcsv, nal, syntax
 
 _COLS = ["seq", "frame", "source", "src_x", "src_y", "dst_x", "dst_y"]
 
@@ -560,6 +560,38 @@ def b_se_stream(spark, sf_dir) -> DataFrame:
     return docs.select("doc_id", codes.alias("codes")).select("doc_id", F.size("codes").alias("n"), F.array_max("codes").alias("most"))
 
 
+@query(
+    """select event_id as seq, cast(user_id % 4 as int) as sps_id, cast(4 + event_id % 5 as int) as log2_max_frame_num,
+  cast(1 + event_id % 120 as int) as width_in_mbs, cast(1 + user_id % 68 as int) as height_in_map_units, cast(event_id % 4 as int) as max_num_ref_frames,
+  cast(event_id % 2 as int) as cabac, cast(event_id % 1000 as int) as first_mb, case when event_id % 3 = 0 then 'I' else 'P' end as slice_type,
+  cast(event_id % 16 as int) as frame_num, cast(user_id % 16 as int) as poc_lsb, cast(case when event_id % 3 = 0 then 1 + event_id % 2 else 1 + user_id % 5 end as int) as num_ref_l0,
+  cast(26 + event_id % 21 - 10 + user_id % 11 - 5 as int) as slice_qp, cast(case when event_id % 3 > 0 and event_id % 2 = 1 then event_id % 3 else 0 end as int) as cabac_init_idc, true as at_data
+from events"""
+)
+def b_h264_headers(spark, sf_dir) -> DataFrame:
+    """Parameter sets and a slice header written as bits for each event, and read."""
+    rows = field.events(spark, sf_dir).select(F.col("event_id").alias("e"), F.col("user_id").alias("u"))
+    e, u, ue, se, no = F.col("e"), F.col("u"), X.ue_bits, X.se_bits, F.lit("0")
+    inter, cabac = e % 3 > 0, e % 2 == 1
+    sps = F.concat(F.lit("0100001000000000" + "00011110"), ue(u % 4), ue(e % 5), ue(F.lit(0)), ue(e % 7), ue(e % 4), no, ue(e % 120), ue(u % 68), F.lit("10"))
+    pps = F.concat(ue(u % 8), ue(u % 4), X.fixed_bits(e % 2, 1), no, ue(F.lit(0)), ue(e % 2), ue(F.lit(0)), F.lit("000"), se(e % 21 - 10), se(F.lit(0)), se(F.lit(0)), F.lit("000"))
+    head = F.concat(
+        *(ue(e % 1000), ue(F.when(inter, 5 * (u % 2)).otherwise(7)), ue(u % 8), X.fixed_bits(e % 16, (e % 5 + 4).cast("int")), X.fixed_bits(u % 16, (e % 7 + 4).cast("int"))),
+        F.when(inter, F.concat(F.lit("1"), ue(u % 5), no)).otherwise(F.lit("")),
+        no,
+        F.when(inter & cabac, ue(e % 3)).otherwise(F.lit("")),
+        se(u % 11 - 5),
+    )
+    coded = rows.select(e.alias("seq"), F.length(head).alias("bits"), X.packed(sps).alias("sps"), X.packed(pps).alias("pps"), X.packed(head).alias("slice"))
+    sets = coded.select("seq", "bits", "slice", syntax.h264_sps(F.col("sps")).alias("sps"), syntax.h264_pps(F.col("pps")).alias("pps"))
+    read = sets.select("seq", "bits", "sps", "pps", syntax.h264_slice(F.col("slice"), F.lit(1), F.lit(2), F.col("sps"), F.col("pps")).alias("head"))
+    return read.select(
+        *("seq", "sps.sps_id", "sps.log2_max_frame_num", "sps.width_in_mbs", "sps.height_in_map_units", "sps.max_num_ref_frames", "pps.cabac"),
+        *("head.first_mb", "head.slice_type", "head.frame_num", "head.poc_lsb", "head.num_ref_l0", "head.slice_qp", "head.cabac_init_idc"),
+        (F.col("head.data_bit") == F.col("bits")).alias("at_data"),
+    )
+
+
 @query(
     _BASE
     + """select video, count(*)::bigint as blocks, count(distinct frame)::bigint as pictures, sum((source = -1)::int)::bigint as list0, sum((source = 1)::int)::bigint as list1,
