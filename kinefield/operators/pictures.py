@@ -36,13 +36,14 @@ def group_slices(slices: DataFrame) -> DataFrame:
     return rows.withColumn("n_slices", F.size("slices"))
 
 
-def display_order(pictures: DataFrame, bits: int, anchor: Column | None = None) -> DataFrame:
+def display_order(pictures: DataFrame, bits: int | Column, anchor: Column | None = None) -> DataFrame:
     """Display counts from their low bits (lsb); ``anchor``: pictures that are counted from.
 
     A count that falls by half the range or more from the anchor before it has wrapped up,
     one that rises by more has wrapped down. Counting starts anew at each ``idr``.
     """
-    top, half = 1 << bits, 1 << (bits - 1)
+    bits = F.lit(bits) if isinstance(bits, int) else bits
+    top, half = (F.call_function("shiftleft", F.lit(1), b) for b in (bits, bits - 1))
     anchor = F.col("is_ref") if anchor is None else anchor
     epoch = F.sum(F.col("idr").cast("int")).over(Window.partitionBy("video").orderBy("seq"))
     rows = pictures.withColumns({"_epoch": epoch, "_anchor": anchor})
