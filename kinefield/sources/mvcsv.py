@@ -61,7 +61,8 @@ def parse_lines(lines: DataFrame, header: str, column: str = "value") -> DataFra
     """Lines of text under a header as wide rows; no quoting, blank lines are skipped."""
     names = [n.strip() for n in header.split(",")]
     rest = [F.col(c) for c in lines.columns if c != column]
-    rows = lines.filter(F.trim(column) != "").select(*rest, _once(F.split(F.col(column), ",")).alias("_fields"))
+    rows = lines.select(*rest, _once(F.col(column)).alias("_line")).filter(F.trim("_line") != "")
+    rows = rows.select(*rest, _once(F.split("_line", ",")).alias("_fields"))
     return typed(rows.select(*rest, *(F.get("_fields", F.lit(k)).alias(n) for k, n in enumerate(names))))
 
 
@@ -76,7 +77,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def _float(x: Column) -> Column:
     """The shortest text that reads back as the same double, with .0 for whole numbers."""
     whole = (x == F.floor(x)) & (F.abs(x) < 1e16)
-    return F.when(whole, F.concat(x.cast("decimal(20,0)").cast("string"), F.lit(".0"))).otherwise(x.cast("string"))
+    return F.when(whole, F.concat(x.cast("long").cast("string"), F.lit(".0"))).otherwise(x.cast("string"))
 
 
 def wide_text(rows: DataFrame) -> DataFrame:
