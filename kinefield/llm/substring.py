@@ -49,9 +49,10 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray, unit: str) -> np.ndarray:
 
 
 def units(documents: DataFrame, unit: str) -> DataFrame:
-    """(doc_id, row, digest, words, start, end) of each unit that has words.
+    """(doc_id, row, digest, words, start, end, place) of each unit that has words.
 
-    ``row``: hash of the text. ``start`` and ``end``: byte offsets in it.
+    ``row``: hash of the text. ``start`` and ``end``: byte offsets in it. ``place``: which
+    of the text's units with words it is.
     """
     import xxhash
 
@@ -73,6 +74,7 @@ def units(documents: DataFrame, unit: str) -> DataFrame:
             some = high > low
             rows = np.array([xxhash.xxh3_64_intdigest(bytes_[x:y]) for x, y in zip(part[:-1], part[1:], strict=True)], np.uint64)
             doc, starts, stops = doc[some], starts[some], stops[some]
+            place = np.arange(len(doc)) - np.searchsorted(doc, doc)
             yield {
                 "doc_id": batch.column("doc_id").slice(a, b - a).take(pa.array(doc)),
                 "row": rows[doc].view(np.int64),
@@ -80,12 +82,13 @@ def units(documents: DataFrame, unit: str) -> DataFrame:
                 "words": (high - low)[some].astype(np.int32),
                 "start": (starts - part[doc]).astype(np.int32),
                 "end": (stops - part[doc]).astype(np.int32),
+                "place": place.astype(np.int32),
             }
 
     return common.map_arrow(
         documents.select(F.col("doc_id").cast("long"), "text"),
         run,
-        "doc_id long, row long, digest long, words int, start int, end int",
+        "doc_id long, row long, digest long, words int, start int, end int, place int",
     )
 
 
@@ -98,11 +101,11 @@ def repeated_spans(documents: DataFrame, unit: str, min_words: int, scratch: com
     # Written apart, so that the join with it can split the rows of a common unit.
     groups = scratch.table(groups.filter("low < high").select("digest", "words", "low"), "groups")
     later = found.join(groups, ["digest", "words"]).filter(rank > F.col("low"))
-    later = later.select("doc_id", "row", "start", "end", "words").distinct()
-    # Runs: a unit goes on from the one before it if no unit with words lies between; a
-    # unit's end is where the next unit begins.
+    later = later.select("doc_id", "row", "start", "end", "words", "place").distinct()
+    # Runs: a unit goes on from the one before it if no unit with words lies between; the
+    # blanks and blank lines between two such units go with them.
     text = Window.partitionBy("doc_id", "row").orderBy("start")
-    breaks = (F.col("start") != F.lag("end").over(text)).cast("int")
+    breaks = (F.col("place") != F.lag("place").over(text) + 1).cast("int")
     runs = later.withColumn("run", F.sum(F.coalesce(breaks, F.lit(0))).over(text))
     runs = (
         runs.groupBy("doc_id", "row", "run")

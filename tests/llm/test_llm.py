@@ -310,6 +310,18 @@ def test_passages(spark, odd, none):
     assert substring.remove_repeats(none).count() == 0
 
 
+def test_passages_of_short_lines(spark):
+    lines = [f"Line {k} of the same passage ends in a full stop." for k in range(6)]
+    passage = "\n".join(lines[:3]) + "\n\n \n" + "\n\n".join(lines[3:])
+    rows = [(1, f"First.\n{passage}\n"), (2, f"Own head.\n{passage}\nOwn end."), (3, f"{lines[0]} Own.\n{lines[2]}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # By lines of the text alone, none of which has 30 words.
+    got = {r.doc_id: r for r in substring.remove_repeats(df, min_words=30).collect()}
+    assert got[1].text == rows[0][1]
+    assert got[2].text.split() == ["Own", "head.", "Own", "end."] and len(got[2].removed) == 1
+    assert "Own." in got[3].text
+
+
 # 10. Sharding ----------------------------------------------------------------------------
 
 
