@@ -8,7 +8,10 @@ never all pairs of a bucket. Offered edges are confirmed on the full sets.
 Links are sought in rounds. The first centre of a bucket is its smallest id. Later
 rounds take only buckets that still hold several components, and offer only edges
 between components: first to the member with most confirmed links, then to several
-centres by a hash that differs each round. The rounds end when one joins nothing.
+centres by a hash that differs each round. The late rounds end when one joins nothing.
+What stars can't tell is then told exactly: the texts of buckets of three or more that
+still hold several components are joined on the rarest of their shingles (prefix and
+position filter), which offers every pair that may be a link between components.
 
 Defined results: null or blank text has an empty set, is linked with nothing and
 stands for itself. Rows that share a doc_id are one document with any of its
@@ -172,6 +175,54 @@ def _may_link(star: Column, percent: int, far: int) -> Column:
     return (F.col("label") != star["label"]) & (100 * small >= percent * large) & (differ <= far)
 
 
+def _rest(members: DataFrame, labels: DataFrame | None, sets: DataFrame, percent: int, scratch: common.Scratch) -> DataFrame:
+    """Pairs (a, b) that may be links between components that share a bucket.
+
+    Shingles are ordered by how many of these texts have them, rarest first. The first one
+    that a linked pair shares leaves as many behind it, in either set, as the pair must
+    share; so sets are joined on shingles with enough behind them.
+    """
+    pool = members.select("key", "id", "n").withColumn("label", F.col("id"))
+    if labels is not None:
+        pool = members.select("key", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    # The first round's star holds all pairs of a bucket of two.
+    buckets = pool.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("_size"))
+    buckets = scratch.table(buckets.filter("_low < _high and _size > 2").select("key"), "open")
+    texts = scratch.table(pool.join(buckets, "key").select("id", "n", "label").distinct(), "open-texts")
+    grams = scratch.table(texts.join(sets, "id").select("id", "n", "label", F.explode("shingles").alias("g")), "open-grams")
+    # A shingle that one component alone has comes first, too, but meets nothing.
+    shared = grams.groupBy("g").agg(F.count("*").alias("df"), F.min("label").alias("_low"), F.max("label").alias("_high"))
+    shared = scratch.table(shared.filter("df > 1").select("g", "df", (F.col("_low") < F.col("_high")).alias("across")), "shared")
+    ranked = grams.join(shared, "g").groupBy("id").agg(
+        F.first("n").alias("n"), F.first("label").alias("label"),
+        F.array_sort(F.collect_list(F.struct("df", "g", "across"))).alias("order"),
+    )
+    place = F.col("n") - F.size("order") + F.col("k")
+    heads = (
+        ranked.select("id", "n", "label", "order", F.posexplode("order").alias("k", "s"))
+        .withColumn("left", (F.col("n") - place).cast("long"))
+        .filter(F.col("s.across") & (100 * F.col("left") >= percent * F.col("n")))
+        .select("id", "n", "label", "left", F.col("s.g").alias("g"))
+    )
+    heads = scratch.table(heads, "heads")
+    # Pairs within a shingle's commonest component are never made: one of two is of another.
+    per = heads.groupBy("g", "label").agg(F.count("*").alias("c"))
+    most = per.groupBy("g").agg(F.max(F.struct("c", "label"))["label"].alias("most"), F.count("*").alias("labels"))
+    most = scratch.table(most.filter("labels > 1").select("g", "most"), "most")
+    heads = scratch.table(heads.join(most, "g").withColumn("minor", F.col("label") != F.col("most")).drop("most"), "met")
+    x, y = heads.filter("minor").alias("x"), heads.alias("y")
+    need = percent * (F.col("x.n") + F.col("y.n"))
+    pairs = x.join(
+        y,
+        (F.col("x.g") == F.col("y.g"))
+        & (F.col("x.label") != F.col("y.label"))
+        & (~F.col("y.minor") | (F.col("x.id") < F.col("y.id")))
+        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+        & ((100 + percent) * F.least("x.left", "y.left") >= need),
+    )
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def near_duplicates(
     documents: DataFrame,
     width: int = 5,
@@ -186,7 +237,7 @@ def near_duplicates(
 
     ``percent``: the least similarity of a link; ``bands`` x ``rows`` bins find a pair
     at 0.8 with all but about one in 100,000. ``centres``: of a bucket, in a late round.
-    ``rounds``: late rounds at most. ``broadcast_rows``: more ids are joined by shuffle.
+    ``rounds``: late rounds at most, before the rest is told exactly. ``broadcast_rows``: more ids are joined by shuffle.
     """
     scratch = common.Scratch(documents.sparkSession, "near")
     far = permutation(bands, rows).far(percent)
@@ -246,15 +297,19 @@ def near_duplicates(
             offered = offered.join(tried, ["a", "b"], "left_anti")
         offered = scratch.table(offered, f"offered-{turn}")
         found = scratch.table(confirmed(offered, sets, percent), f"found-{turn}")
-        if found.isEmpty():
-            if turn != 1:
-                break
-            continue
         tried = offered if tried is None else tried.unionByName(offered)
         if turn == 0:
             ends = found.select(F.explode(F.array("a", "b")).alias("id"))
             degree = ends.groupBy("id").agg(F.count("*").alias("degree"))
+        if found.isEmpty():
+            if turn > 1:
+                break
+            continue
         labels = joined(labels, found, scratch, f"labels-{turn}")
+    offered = _rest(members, labels, sets, percent, scratch).join(tried, ["a", "b"], "left_anti")
+    found = scratch.table(confirmed(scratch.table(offered, "offered-rest"), sets, percent), "found-rest")
+    if not found.isEmpty():
+        labels = joined(labels, found, scratch, "labels-rest")
     scratch.drop("members")
     scratch.drop("sets")
     return _grouped(sig, classes, labels)

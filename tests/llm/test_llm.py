@@ -156,6 +156,22 @@ def test_near_duplicates_by_brute_force(spark, odd, none):
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7, 7, 8]
 
 
+def test_near_duplicates_of_a_template(spark):
+    # Pairs share the template and some words more: 0.816. Others share the template: 0.795.
+    template, texts = [f"t{k}" for k in range(350)], []
+    for k in range(600):
+        own = [f"p{k // 2}x{j}" for j in range(6)] + [f"o{k}x{j}" for j in range(39)]
+        texts.append(" ".join(template + own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(zip(t.split(), t.split()[1:], strict=False)) for t in texts]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert like(0, 1) >= 0.8 > max(like(0, b) for b in range(2, 600))
+    # One centre a bucket and no late round: what the stars leave must be told exactly.
+    for options in ({"centres": 1, "rounds": 0}, {}):
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, width=2, **options).collect()}
+        assert got == {k: k - k % 2 for k in range(600)}
+
+
 def test_components_of_chains(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (103, 101)], "a long, b long")
     got = {r.id: r.label for r in connected(edges, Scratch(spark, "t"), "c").collect()}
