@@ -3,9 +3,10 @@
 A text's units are its lines, or sentences or paragraphs. A unit is normalised to its
 words, A-Z in lower case, whatever white space stands between. Units are grouped by
 digest over all documents; the earliest in rank (doc_id, then place in the text) stays.
-Later ones go where they form a passage: an unbroken run of repeated units of one text
-that has ``min_words`` words at least. Short units that recur by chance, or in running
-text, are so left alone. What goes is told as spans of the original text.
+Whole lines (or paragraphs) that an earlier line equals go, however short. Later sentences
+also go where they form a passage: an unbroken run of repeated units of one text that has
+``min_words`` words at least. Short sentences that recur within other lines are so left
+alone. What goes is told as spans of the original text.
 
 Only digests and places are shuffled; texts stay where they are, unless spans of more
 documents than a broadcast may hold are found.
@@ -49,10 +50,11 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray, unit: str) -> np.ndarray:
 
 
 def units(documents: DataFrame, unit: str) -> DataFrame:
-    """(doc_id, row, digest, words, start, end, place) of each unit that has words.
+    """(doc_id, row, digest, words, start, end, place, whole) of each unit that has words.
 
     ``row``: hash of the text. ``start`` and ``end``: byte offsets in it. ``place``: which
-    of the text's units with words it is.
+    of the text's units with words it is; null for a line of several sentences, which comes
+    besides them. ``whole``: a line or paragraph; it ends with its line end.
     """
     import xxhash
 
@@ -68,27 +70,41 @@ def units(documents: DataFrame, unit: str) -> DataFrame:
             stops = np.append(starts[1:], len(bytes_))
             low = np.searchsorted(begin, starts)
             high = np.append(low[1:], len(begin))
+            some = high > low
+            starts, stops, low, high = starts[some], stops[some], low[some], high[some]
+            doc = np.searchsorted(part, starts, side="right") - 1
+            place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+            whole = np.ones(len(doc), bool)
+            if unit == "sentence":
+                lines = unit_starts(bytes_, part, "line")
+                line = np.searchsorted(lines, starts, side="right") - 1
+                _, head, count = np.unique(line, return_index=True, return_counts=True)
+                whole = np.repeat(count == 1, count)
+                ends = np.append(lines[1:], len(bytes_))
+                stops = np.where(whole, ends[line], stops)
+                # Lines of several sentences, after the sentences.
+                head, tail = head[count > 1], (head + count - 1)[count > 1]
+                starts, stops = np.append(starts, starts[head]), np.append(stops, ends[line[head]])
+                low, high, doc = np.append(low, low[head]), np.append(high, high[tail]), np.append(doc, doc[head])
+                place, whole = np.append(place, np.full(len(head), -1)), np.append(whole, np.ones(len(head), bool))
             sums = common.prefix_sums(common.span_hashes(common.prefix_sums(common.lowered(bytes_)), begin, end))
             digest = common.span_hashes(sums, low, high)
-            doc = np.searchsorted(part, starts, side="right") - 1
-            some = high > low
             rows = np.array([xxhash.xxh3_64_intdigest(bytes_[x:y]) for x, y in zip(part[:-1], part[1:], strict=True)], np.uint64)
-            doc, starts, stops = doc[some], starts[some], stops[some]
-            place = np.arange(len(doc)) - np.searchsorted(doc, doc)
             yield {
                 "doc_id": batch.column("doc_id").slice(a, b - a).take(pa.array(doc)),
                 "row": rows[doc].view(np.int64),
-                "digest": digest[some].view(np.int64),
-                "words": (high - low)[some].astype(np.int32),
+                "digest": digest.view(np.int64),
+                "words": (high - low).astype(np.int32),
                 "start": (starts - part[doc]).astype(np.int32),
                 "end": (stops - part[doc]).astype(np.int32),
-                "place": place.astype(np.int32),
+                "place": pa.array(place.astype(np.int32), mask=place < 0),
+                "whole": whole,
             }
 
     return common.map_arrow(
         documents.select(F.col("doc_id").cast("long"), "text"),
         run,
-        "doc_id long, row long, digest long, words int, start int, end int, place int",
+        "doc_id long, row long, digest long, words int, start int, end int, place int, whole boolean",
     )
 
 
@@ -97,25 +113,42 @@ def repeated_spans(documents: DataFrame, unit: str, min_words: int, scratch: com
     found = scratch.table(units(documents, unit), "units")
     rank = F.struct(F.col("doc_id").alias("d"), F.col("row").alias("r"), F.col("start").alias("s"))
     # Repeated rows are one occurrence: their ranks are equal.
-    groups = found.groupBy("digest", "words").agg(F.min(rank).alias("low"), F.max(rank).alias("high"))
+    groups = found.groupBy("digest", "words").agg(F.min(rank).alias("low"), F.max(rank).alias("high"), F.min(F.when(F.col("whole"), rank)).alias("line"))
     # Written apart, so that the join with it can split the rows of a common unit.
-    groups = scratch.table(groups.filter("low < high").select("digest", "words", "low"), "groups")
+    groups = scratch.table(groups.filter("low < high").select("digest", "words", "low", "line"), "groups")
     later = found.join(groups, ["digest", "words"]).filter(rank > F.col("low"))
-    later = later.select("doc_id", "row", "start", "end", "words", "place").distinct()
+    gone = F.coalesce(F.col("whole") & (rank > F.col("line")), F.lit(False)).alias("gone")
+    later = later.select("doc_id", "row", "start", "end", "words", "place", gone).distinct()
+    later = scratch.table(later, "later")
     # Runs: a unit goes on from the one before it if no unit with words lies between; the
     # blanks and blank lines between two such units go with them.
     text = Window.partitionBy("doc_id", "row").orderBy("start")
     breaks = (F.col("place") != F.lag("place").over(text) + 1).cast("int")
-    runs = later.withColumn("run", F.sum(F.coalesce(breaks, F.lit(0))).over(text))
+    runs = later.filter("place is not null").withColumn("run", F.sum(F.coalesce(breaks, F.lit(0))).over(text))
     runs = (
         runs.groupBy("doc_id", "row", "run")
         .agg(F.sum("words").alias("words"), F.min("start").alias("start"), F.max("end").alias("end"))
         .filter(F.col("words") >= min_words)
     )
-    spans = runs.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    runs = runs.select("doc_id", "row", "start", "end").unionByName(later.filter("gone").select("doc_id", "row", "start", "end"))
+    spans = runs.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     return scratch.table(spans, "spans")
 
 
+def _merged(spans: list, raw: bytes) -> list[dict]:
+    """Sorted spans less overlaps; one that begins within a line leaves its last line end."""
+    out: list[dict] = []
+    for s in spans:
+        if out and s["start"] <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], s["end"])
+        else:
+            out.append({"start": s["start"], "end": s["end"]})
+    for s in out:
+        if s["start"] and raw[s["start"] - 1] != 10 and raw[s["end"] - 1] == 10:
+            s["end"] -= 1
+    return out
+
+
 def remove_repeats(
     documents: DataFrame, unit: str = "sentence", min_words: int = 30, broadcast_rows: int = 200_000
 ) -> DataFrame:
@@ -131,6 +164,7 @@ def remove_repeats(
     spans = repeated_spans(documents, unit, min_words, scratch)
     small = spans.limit(broadcast_rows + 1).count() <= broadcast_rows
     scratch.drop("units")
+    scratch.drop("later")
     plain = documents.drop("removed")
     by_id = spans.groupBy("doc_id").agg(F.collect_list(F.struct("row", "spans")).alias("_cut"))
     by_id = by_id.select(F.col("doc_id").alias("_doc"), "_cut")
@@ -150,7 +184,7 @@ def remove_repeats(
                     row = np.uint64(xxhash.xxh3_64_intdigest(raw)).astype(np.int64)
                     cut = next((c["spans"] for c in cuts if c["row"] == row), [])
                     kept, at, chars = [], 0, 0
-                    for s in cut:
+                    for s in _merged(cut, raw):
                         kept.append(raw[at : s["start"]].decode())
                         chars += len(kept[-1])
                         size = len(raw[s["start"] : s["end"]].decode())

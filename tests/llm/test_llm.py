@@ -338,6 +338,15 @@ def test_passages_of_short_lines(spark):
     assert "Own." in got[3].text
 
 
+def test_repeated_lines(spark):
+    line = "This work is free. Copy it ü."
+    rows = [(1, f"One.\n{line}\nTwo."), (2, f"Three.\n{line}\n\nFour. {line}\nShort line\n"), (3, "short  LINE\nFive."), (4, f"Six.\n{line}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in substring.remove_repeats(df).collect()}
+    # Whole lines go; within another line, a short sentence stays.
+    assert got == {1: rows[0][1], 2: f"Three.\n\nFour. {line}\nShort line\n", 3: "Five.", 4: "Six.\n"}
+
+
 # 10. Sharding ----------------------------------------------------------------------------
 
 
