@@ -83,9 +83,11 @@ class Scanner:
             n = len(plain)
             if n < max(min_chars, q):
                 continue
-            size = n if n < 1.5 * window else window
-            starts = [*range(0, n - size, window // 2), n - size]
-            for s in starts:
+            # An excerpt of window + window // 6 - 1 bytes holds a window. Shorter items are
+            # sought as a whole, too, since that allows more edits.
+            size = min(n, window)
+            spans = [(s, size) for s in (*range(0, n - size, window // 6), n - size)]
+            for s, size in [(0, n)] * (window < n < 1.5 * window) + spans:
                 edits = min(int(rate * size), size // q - 1)
                 self.windows.append((item, plain[s : s + size], edits, size + 1 - q * (edits + 1)))
         hashes, owner, place = [], [], []

@@ -300,6 +300,16 @@ def test_edited_passages_are_found(seed, edits):
     assert bool(found) == (best <= scanner.windows[0][2])
 
 
+def test_excerpts_are_found():
+    rng = random.Random(5)
+    for size in (179, 400):
+        item = "".join(rng.choice("abcdefghij") for _ in range(size))
+        scanner = decontam.Scanner([(1, item)], 12, 0.05, 120, 24)
+        for at in range(size - 139 + 1):
+            text = np.frombuffer(f"own text {item[at : at + 139]} more".encode(), np.uint8)
+            assert scanner.find(text, np.array([0, len(text)]))
+
+
 def test_contamination_of_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, ODD[0][1]), (2, None), (3, "short")], "item_id long, text string")
     got = decontam.find_contamination(odd, bench).collect()
