@@ -22,9 +22,11 @@ BATCH_ROWS, ARROW_ROWS = 512, 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; a temporary one only if unset."""
+    """The folder shared by driver and executors; a temporary one in local mode alone."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kinefield-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -58,6 +60,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names like ``names`` that none of ``columns`` has, in any case of letters."""
+    used, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -150,10 +163,43 @@ def prefix_sums(symbols: np.ndarray) -> np.ndarray:
     return sums
 
 
-def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each span [start, end), which doesn't depend on where it lies."""
-    _, down = powers(len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+#: Spans beyond so many bytes are hashed one by one.
+LANE_BYTES = 64
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span [start, end), wherever it lies.
+
+    Spans are taken in words of 8 bytes, each mixed into the hash so far, so there is no
+    algebra between places (as a polynomial has), and spans of equal length up to 8 bytes
+    never collide.
+    """
+    import xxhash
+
+    size = end - start
+    out = mix(size.astype(np.uint64) + np.uint64(seed) * BASE + np.uint64(1))
+    if not len(out):
+        return out
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    words_ = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(data) + 1,), (1,))
+    long = size > LANE_BYTES
+    left = np.flatnonzero(~long & (size > 0))
+    for at in range(0, LANE_BYTES, 8):
+        if not len(left):
+            break
+        lane = words_[start[left] + at]
+        short = (8 * np.minimum(size[left] - at, 8)).astype(np.uint64)
+        lane &= ~np.uint64(0) >> (np.uint64(64) - short)
+        out[left] = mix((out[left] ^ lane) * BASE)
+        left = left[size[left] > at + 8]
+    if long.any():
+        view = memoryview(padded)
+        where = np.flatnonzero(long)
+        out[where] = [
+            xxhash.xxh3_64_intdigest(view[a:b], seed) for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)
+        ]
+    return out
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -192,15 +238,21 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[n
     start, end, first = words(data, offsets)
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    word = span_hashes(prefix_sums(lowered(data)), start, end)
+    word = span_hashes(lowered(data), start, end)
     count = np.diff(first)
-    # A shingle's hash is that of its words' hashes as a sequence; the width is part of it.
-    sums = prefix_sums(word)
     have = np.where(count >= width, count - width + 1, np.minimum(count, 1))
     begin = np.concatenate([[0], np.cumsum(have)])
     at = np.arange(begin[-1]) - np.repeat(begin[:-1] - first[:-1], have)
     size = np.repeat(np.minimum(count, width), have)
-    return span_hashes(sums, at, at + size), begin
+    out = mix(size.astype(np.uint64))
+    whole = size.min(initial=width) == width
+    for k in range(width):
+        if whole:
+            out = mix((out ^ word[at + k]) * BASE)
+        else:
+            some = np.flatnonzero(size > k)
+            out[some] = mix((out[some] ^ word[at[some] + k]) * BASE)
+    return out, begin
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,17 +7,24 @@ on diagonals that differ by e at most. So q-grams that a document shares with a
 counted in overlapping bands of diagonals, bands that reach the bound are kept, and an
 alignment within the band decides.
 
-The benchmark goes to all tasks, in groups of bounded size; each group is one more pass
-over the documents. Documents aren't shuffled.
+Items with fewer than ``exact_bytes`` normalised bytes are too short for that: they are
+sought as they are, between blanks or text ends, by hash and comparison.
 
-Defined results: null and empty texts are clean. Items that are null or have fewer than
-``min_chars`` normalised bytes are no evidence and are left out. Rows are judged one by
-one, so repeated rows and null ids are no matter. Repeated items are found each. With an
-empty benchmark all is clean. Extra columns are ignored, or kept by the filter.
+The benchmark goes to all tasks, in groups of bounded size. Each group is a pass of its own
+over the documents, written before the next one, so the driver and a task hold one group at
+a time. Documents aren't shuffled.
+
+Defined results: null and empty texts are clean. Items that are null or have no letter or
+digit are no evidence and are left out. Rows are judged one by one, so repeated rows and
+null ids are no matter. Repeated items (equal item_id and text) are found once. A very long
+text is scanned alone. With an empty benchmark all is clean. Extra columns are ignored, or
+kept by the filter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +33,8 @@ from pyspark.sql import functions as F
 from kinefield.llm import common
 
 _FILTER_BITS = 22
+#: Pairs of a document's gram and a window's that are held at once.
+PAIRS = 1 << 22
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
@@ -34,9 +43,37 @@ for _k in range(128):
         _PLAIN[_k] = 32
 
 
+def _bytes(*spans: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for a, b in spans:
+        out[a : b + 1] = True
+    return out
+
+
+#: The UTF-8 bytes that end signs, by the bytes before them.
+_SIGNS = {
+    b"\xc2": _bytes((0xA0, 0xA9), (0xAB, 0xB1), (0xB4, 0xB4), (0xB6, 0xB8), (0xBB, 0xBB), (0xBF, 0xBF)),
+    b"\xe2\x80": _bytes((0x80, 0xBF)),
+    b"\xe2\x81": _bytes((0x80, 0xAF)),
+    b"\xe3\x80": _bytes((0x80, 0x83), (0x88, 0xA0)),
+    b"\xef\xbc": _bytes((0x81, 0x8F), (0x9A, 0xA0), (0xBB, 0xBF)),
+}
+
+
 def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Normalised bytes of rows, the rows' offsets in them, and each byte's original place."""
+    """Normalised bytes of rows, the rows' offsets in them, and each byte's original place.
+
+    Signs of ASCII, Latin-1, and of the general, CJK and full-width punctuation are blanks.
+    """
     plain = _PLAIN[data]
+    for lead, signs in _SIGNS.items():
+        size = len(lead)
+        at = np.flatnonzero(data[: len(data) - size] == lead[0]) if len(data) > size else np.zeros(0, np.int64)
+        for k in range(1, size):
+            at = at[data[at + k] == lead[k]]
+        at = at[signs[data[at + size]]]
+        for k in range(size + 1):
+            plain[at + k] = 32
     keep = plain != 32
     if len(plain) > 1:
         keep[1:] |= plain[:-1] != 32  # the first blank of a run stays
@@ -73,15 +110,18 @@ def aligned(pattern: np.ndarray, text: np.ndarray, low: int, width: int) -> tupl
 class Scanner:
     """Finds windows of a group of items in normalised text."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, rate: float, window: int, min_chars: int):
+    def __init__(self, items: list[tuple[int, str]], q: int, rate: float, window: int, exact_bytes: int = 24):
         self.q = q
+        self.short: dict[int, list[tuple]] = {}  # by size: (item, bytes)
         self.windows: list[tuple] = []  # (item, bytes, edits, least shared grams)
         for item, text in items:
             data = np.frombuffer((text or "").encode(), np.uint8)
             plain, _, _ = normalised(data, np.array([0, len(data)]))
             plain = plain[: len(plain) - 1] if len(plain) and plain[-1] == 32 else plain
             n = len(plain)
-            if n < max(min_chars, q):
+            if n < max(exact_bytes, 2 * q):
+                if n:
+                    self.short.setdefault(n, []).append((item, plain))
                 continue
             # An excerpt of window + window // 6 - 1 bytes holds a window. Shorter items are
             # sought as a whole, too, since that allows more edits.
@@ -116,8 +156,57 @@ class Scanner:
 
     def find(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, start, end, edits) of found windows, in bytes of normalised ``data``."""
-        if not self.windows or len(data) < self.q:
-            return []
+        found = self._whole(data, offsets)
+        if self.windows and len(data) >= self.q:
+            found |= self._near(data, offsets)
+        return [(*k, v) for k, v in sorted(found.items(), key=repr)]
+
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> dict:
+        """Places of short items, between blanks or ends of texts."""
+        found: dict = {}
+        if not self.short or not len(data):
+            return found
+        blank = data == 32
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        stop = edge.copy()
+        stop[:-1] |= blank
+        start = np.flatnonzero(edge[:-1] | np.concatenate([[True], blank[:-1]]))
+        row = np.searchsorted(offsets, start, side="right") - 1
+        for size, items in self.short.items():
+            fits = start + size <= offsets[row + 1]
+            fits[fits] = stop[start[fits] + size]
+            at, of = start[fits], row[fits]
+            here = common.span_hashes(data, at, at + size)
+            each = np.array([common.span_hashes(b, np.zeros(1, np.int64), np.full(1, size))[0] for _, b in items])
+            order = np.argsort(each, kind="stable")
+            low, high = np.searchsorted(each[order], here), np.searchsorted(each[order], here, side="right")
+            for k in np.flatnonzero(high > low).tolist():
+                for item, pattern in (items[j] for j in order[low[k] : high[k]].tolist()):
+                    if (data[at[k] : at[k] + size] == pattern).all():
+                        found[int(of[k]), item, int(at[k]), int(at[k]) + size] = 0
+        return found
+
+    def _pairs(self, hits: np.ndarray, known: np.ndarray, parts: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hit, entry of owner and place) for windows of this turn, made in bounded blocks."""
+        count = self.first[known + 1] - self.first[known]
+        total = np.concatenate([[0], np.cumsum(count)])
+        out, a = [], 0
+        while a < len(hits):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + PAIRS, side="right")) - 1)
+            many = count[a:b]
+            entry = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many - self.first[known[a:b]], many)
+            where = np.repeat(hits[a:b], many)
+            if parts > 1:
+                mine = self.owner[entry] % parts == turn
+                where, entry = where[mine], entry[mine]
+            out.append((where, entry))
+            a = b
+        where, entry = zip(*out, strict=True)
+        return np.concatenate(where), np.concatenate(entry)
+
+    def _near(self, data: np.ndarray, offsets: np.ndarray) -> dict:
+        """Places of windows with few edits."""
         grams = self._hash(data)
         hits = np.flatnonzero(self.marks[(grams >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
         known = np.searchsorted(self.grams, grams[hits])
@@ -128,18 +217,26 @@ class Scanner:
         # A found window has ``fewest`` of these grams within its reach.
         need = self.fewest
         if len(hits) < need:
-            return []
+            return {}
         dense = np.flatnonzero(hits[need - 1 :] - hits[: len(hits) - need + 1] <= self.reach)
         delta = np.zeros(len(hits) + 1, np.int64)
         np.add.at(delta, dense, 1)
         np.add.at(delta, dense + need, -1)
         near = np.cumsum(delta)[:-1] > 0
         hits, known = hits[near], known[near]
-        if not len(hits):
-            return []
-        count = self.first[known + 1] - self.first[known]
-        entry = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - self.first[known], count)
-        where, owner = np.repeat(hits, count), self.owner[entry]
+        found: dict = {}
+        if len(hits):
+            # A phrase that many items share makes many pairs: windows then take turns.
+            parts = 1 + int((self.first[known + 1] - self.first[known]).sum()) // PAIRS
+            for turn in range(parts):
+                self._align(data, offsets, *self._pairs(hits, known, parts, turn), found)
+        return found
+
+    def _align(self, data: np.ndarray, offsets: np.ndarray, where: np.ndarray, entry: np.ndarray, found: dict) -> None:
+        """Add to ``found`` what the bands that hold enough grams have."""
+        if not len(where):
+            return
+        owner = self.owner[entry]
         step = self.edits[owner] + 1
         diagonal = where - self.place[entry] + self.reach  # not negative
         band = diagonal // step
@@ -148,7 +245,6 @@ class Scanner:
         keys, first, counts = np.unique(key, return_index=True, return_counts=True)
         full = counts >= self.needed[keys % len(self.windows)]
         first = first[full] % len(where)
-        found = {}
         for k, at, exact in zip(
             keys[full].tolist(), where[first].tolist(), (diagonal[first] - self.reach).tolist(), strict=True
         ):
@@ -169,7 +265,6 @@ class Scanner:
                 back, size = aligned(pattern[::-1], data[a : a + end][::-1], -edits, 2 * edits + 1)
                 size = size if back <= edits else min(len(pattern), end)
                 found[row, item, a + end - size, a + end] = cost
-        return [(*k, v) for k, v in sorted(found.items())]
 
 
 def _judge(scanner: Scanner, texts: pa.Array) -> list[list[dict]]:
@@ -188,17 +283,28 @@ def _judge(scanner: Scanner, texts: pa.Array) -> list[list[dict]]:
 
 
 def scanners(
-    benchmark: DataFrame, q: int = 12, rate: float = 0.05, window: int = 120, min_chars: int = 24, group_bytes: int = 8 << 20
-) -> list[Scanner]:
-    """Scanners for groups of items; a group has about ``group_bytes`` bytes of text."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text"))
+    benchmark: DataFrame, q: int = 12, rate: float = 0.05, window: int = 120, exact_bytes: int = 24, group_bytes: int = 8 << 20
+) -> Iterator[Scanner]:
+    """Scanners for groups of items, one after another; a group has about ``group_bytes`` bytes of text."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text")).filter("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = 1 + size // group_bytes
-    out = []
     for k in range(groups):
         some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == k) if groups > 1 else items
-        out.append(Scanner(sorted(some.collect(), key=lambda r: (r[0] is None, r)), q, rate, window, min_chars))
-    return out
+        yield Scanner(sorted(some.collect(), key=lambda r: (r[0] is None, r)), q, rate, window, exact_bytes)
+
+
+_PLACES = "places array<struct<item_id: long, start: int, end: int, edits: int>>"
+
+
+def _passes(df: DataFrame, benchmark: DataFrame, one_pass, options: dict) -> DataFrame:
+    """``one_pass(df, scanner)`` for each scanner in turn; all but the last are written."""
+    scratch, held = common.Scratch(df.sparkSession, "scans"), None
+    for k, scanner in enumerate(scanners(benchmark, **options)):
+        if held is not None:
+            df = scratch.table(one_pass(df, held), f"pass-{k}")
+        held = scanner
+    return one_pass(df, held)
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -206,38 +312,33 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, **options) ->
 
     ``places``: array of item_id, start and end in characters, and edits.
     """
-    found = scanners(benchmark, **options)
-
-    def run(batch):
-        texts = batch.column("text")
-        places = [sum(x, []) for x in zip(*(_judge(s, texts) for s in found), strict=True)]
-        yield {
-            "doc_id": batch.column("doc_id"),
-            "contaminated": [bool(x) for x in places],
-            "items": [sorted({y["item_id"] for y in x if y["item_id"] is not None}) for x in places],
-            "places": places,
-        }
-
-    return common.map_arrow(
-        documents.select(F.col("doc_id").cast("long"), "text"),
-        run,
-        "doc_id long, contaminated boolean, items array<long>, "
-        "places array<struct<item_id: long, start: int, end: int, edits: int>>",
-    )
+
+    def one_pass(df: DataFrame, scanner: Scanner) -> DataFrame:
+        def run(batch):
+            texts = batch.column("text")
+            places = [x + y for x, y in zip(batch.column("places").to_pylist(), _judge(scanner, texts), strict=True)]
+            yield {"doc_id": batch.column("doc_id"), "text": texts, "places": places}
+
+        return common.map_arrow(df, run, f"doc_id long, text string, {_PLACES}")
+
+    rows = documents.select(F.col("doc_id").cast("long"), "text", F.expr(f"cast(array() as {_PLACES.removeprefix('places ')})").alias("places"))
+    found = _passes(rows, benchmark, one_pass, options)
+    ids = F.array_compact(F.array_sort(F.array_distinct(F.transform("places", lambda p: p["item_id"]))))
+    return found.select("doc_id", (F.size("places") > 0).alias("contaminated"), ids.alias("items"), "places")
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents, with their own columns, in which no item is found."""
-    found = scanners(benchmark, **options)
 
-    def run(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, common.BATCH_ROWS):
-                part = batch.slice(k, common.BATCH_ROWS)
-                gone = np.zeros(part.num_rows, bool)
-                for s in found:
-                    gone |= [bool(x) for x in _judge(s, part.column("text"))]
-                yield part.filter(pa.array(~gone))
+    def one_pass(df: DataFrame, scanner: Scanner) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                for k in range(0, batch.num_rows, common.BATCH_ROWS):
+                    part = batch.slice(k, common.BATCH_ROWS)
+                    gone = [bool(x) for x in _judge(scanner, part.column("text"))]
+                    yield part.filter(pa.array(~np.array(gone, bool)))
+
+        return df.mapInArrow(run, df.schema)
 
     common.small_batches(documents.sparkSession)
-    return documents.mapInArrow(run, documents.schema)
+    return _passes(documents, benchmark, one_pass, options)

@@ -12,7 +12,9 @@ fingerprints estimates the Jaccard likeness of the texts' windows from those.
 Defined results: a null text is empty. Equal texts, also empty ones, have likeness 1 and
 equal fingerprints; an empty and another text have 0. Texts shorter than a window have one
 window. Rows stand in the order of doc_id (null first), then of a hash of the text; the
-row after the last is the first, which may be the same row. An empty table gives no rows.
+row after the last is the first, which may be the same row. A very long text takes some 50
+bytes a code point of one task's memory. An empty table gives no rows. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -181,9 +183,11 @@ def in_order(documents: DataFrame) -> tuple[DataFrame, int]:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, head_edited, head_next).
 
     The edited text has its last quarter replaced by the beginning of the next row's text.
+    ``head_edited`` and ``head_next``: the longest common beginning of the text with the
+    edited and the next one, by binary search over span hashes.
     """
     ordered, _ = in_order(documents)
 
@@ -195,7 +199,8 @@ def fingerprints(documents: DataFrame) -> DataFrame:
             doc, last, prefixes, fingerprint = held
             cut = len(last) - len(last) // 4
             edited = last[:cut] + text[: len(last) // 4]
-            edited_print = Prefixes(edited, prefixes, cut).fingerprint()
+            changed = Prefixes(edited, prefixes, cut)
+            edited_print = changed.fingerprint()
             out.append(
                 (
                     doc,
@@ -205,14 +210,16 @@ def fingerprints(documents: DataFrame) -> DataFrame:
                     edited_print,
                     likeness(fingerprint, edited_print),
                     likeness(fingerprint, print_),
+                    prefixes.extension(0, changed, 0),
+                    prefixes.extension(0, own, 0),
                 )
             )
 
         def flush():
             columns = list(zip(*out, strict=True))
             out.clear()
-            names = "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next".split()
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            names = "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next head_edited head_next".split()
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         done = False
@@ -234,5 +241,5 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     return ordered.mapInArrow(
         run,
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-        "near_edited double, near_next double",
+        "near_edited double, near_next double, head_edited long, head_next long",
     )

@@ -152,15 +152,19 @@ def sets_of(documents: DataFrame, ids: DataFrame, width: int, broadcast_rows: in
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) with 100 * intersection >= percent * union on the full sets."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("_sb"))
-    both = F.size(F.array_intersect("_sa", "_sb")).cast("long")
-    union = F.size("_sa") + F.size("_sb") - both
+    """Edges (a, b) with 100 * intersection >= percent * union on the full sets.
+
+    ``hub`` (a or b) may have many edges: its set comes to them last, once for each task
+    that has some, and isn't shuffled with each.
+    """
+    member = sets.select(F.col("id").alias("member"), F.col("shingles").alias("own"))
+    hub = sets.select(F.col("id").alias("hub"), F.col("shingles").alias("other"))
+    both = F.size(F.array_intersect("own", "other")).cast("long")
+    union = F.size("own") + F.size("other") - both
     return (
-        edges.select("a", "b")
-        .join(left, "a")
-        .join(right, "b")
+        edges.select("a", "b", "hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member"))
+        .join(member, "member")
+        .join(hub, "hub")
         .filter(100 * both >= percent * union)
         .select("a", "b")
     )
@@ -220,7 +224,7 @@ def _rest(members: DataFrame, labels: DataFrame | None, sets: DataFrame, percent
         & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
         & ((100 + percent) * F.least("x.left", "y.left") >= need),
     )
-    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    return pairs.groupBy(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).agg(F.min("y.id").alias("hub"))
 
 
 def near_duplicates(
@@ -290,14 +294,14 @@ def near_duplicates(
         offered = (
             pool.join(stars, "key")
             .select("id", F.explode(F.filter(F.array_distinct("stars"), lambda s: _may_link(s, percent, far))).alias("star"))
-            .select(F.least("id", "star.id").alias("a"), F.greatest("id", "star.id").alias("b"))
-            .distinct()
+            .groupBy(F.least("id", "star.id").alias("a"), F.greatest("id", "star.id").alias("b"))
+            .agg(F.min("star.id").alias("hub"))
         )
         if tried is not None:
             offered = offered.join(tried, ["a", "b"], "left_anti")
         offered = scratch.table(offered, f"offered-{turn}")
         found = scratch.table(confirmed(offered, sets, percent), f"found-{turn}")
-        tried = offered if tried is None else tried.unionByName(offered)
+        tried = offered.select("a", "b") if tried is None else tried.unionByName(offered.select("a", "b"))
         if turn == 0:
             ends = found.select(F.explode(F.array("a", "b")).alias("id"))
             degree = ends.groupBy("id").agg(F.count("*").alias("degree"))
@@ -342,9 +346,10 @@ def drop_near_duplicates(documents: DataFrame, broadcast_rows: int = 1_000_000,
     Of rows that share a doc_id all stay or go together. Null doc_ids stay.
     """
     scratch = common.Scratch(documents.sparkSession, "kept")
-    gone = near_duplicates(documents, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    gone = scratch.table(gone, "gone")
+    (name,) = common.fresh(documents.columns, "gone")
+    gone = near_duplicates(documents, **options).filter(~F.col("kept")).select(F.col("doc_id").alias(name))
+    gone = scratch.table(gone.distinct(), "gone")
     small = gone.limit(broadcast_rows + 1).count() <= broadcast_rows
     return documents.join(
-        F.broadcast(gone) if small else gone, documents["doc_id"].cast("long") == F.col("_gone"), "left_anti"
+        F.broadcast(gone) if small else gone, documents["doc_id"].cast("long") == F.col(name), "left_anti"
     )

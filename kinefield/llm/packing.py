@@ -2,15 +2,19 @@
 
 A document's ids, with an end id, first fill whole windows; the rest of it is one item.
 Each item goes to the open fill level (or a new window) that minimises the sum of the
-squared counts of partially filled windows over all levels, from a level array. The
-windows still open at the end of a partition are cut anew into full windows and, for
-what is left, windows of powers of two, so nothing is padded.
+squared counts of partially filled windows over all levels, from a level array.
+
+Where ``open_ids`` ids are held in open windows, and at the end of a partition, these are
+settled: the fullest windows stay as they were packed and their gaps are filled with cuts
+from the emptiest, until one window is open. That one stays open, and at the end is cut
+into windows of powers of two, so nothing is padded.
 
 Each input partition is packed alone, in its row order: there is no shuffle, and a task
 that runs again gives the same sequences. Sequence ids begin with the partition's number.
 
 Defined results: a null text is empty and so one end id. Null and repeated doc_ids are
-packed as rows of their own. An empty table gives no rows. Extra columns are ignored.
+packed as rows of their own. A very long text is encoded alone. An empty table gives no
+rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +37,11 @@ class SumOfSquares:
         self.counts = np.zeros(window + 1, np.int64)  # of open windows; 0 and window stay 0
         self.open: list[list[list]] = [[] for _ in range(window)]
 
+    @property
+    def held(self) -> int:
+        """Ids in open windows."""
+        return int(self.counts @ np.arange(self.window + 1))
+
     def level(self, size: int) -> int:
         """The fill level to add to; 0 is a new window."""
         top = self.window - size
@@ -64,30 +73,59 @@ class SumOfSquares:
         self.counts[at + size] += 1
         return None
 
+    def settle(self):
+        """Fill the fullest windows from the emptiest; one window at most stays open."""
+        held = [w for level in self.open for w in level]  # by fill, emptiest first
+        fills = [n for n, level in enumerate(self.open) for _ in level]
+        self.counts[:] = 0
+        self.open = [[] for _ in range(self.window)]
+        low, high = 0, len(held) - 1
+        while low < high:
+            gap = self.window - fills[high]
+            while gap and low < high:
+                doc, start, ids, whole = held[low].pop()
+                size = len(ids) >> 2
+                take = min(gap, size)
+                if take < size:  # the end of the piece goes; its beginning stays
+                    held[low].append((doc, start, ids[: 4 * (size - take)], whole))
+                held[high].append((doc, start + size - take, ids[4 * (size - take) :], whole))
+                fills[low] -= take
+                gap -= take
+                low += not fills[low]
+            if gap:
+                fills[high] = self.window - gap
+                break
+            yield held[high]
+            high -= 1
+        if low == high and fills[low]:
+            self.open[fills[low]].append(held[low])
+            self.counts[fills[low]] = 1
+
     def rest(self):
-        """The pieces of open windows, cut into full windows and powers of two."""
-        pieces = [p for level in reversed(self.open) for held in level for p in held]
-        left = sum(len(p[2]) >> 2 for p in pieces)
-        held, room = [], 0
-        for doc, start, ids, whole in pieces:
-            at = 0
-            while at < len(ids):
-                if room == 0:
-                    room = self.window if left >= self.window else 1 << (left.bit_length() - 1)
-                    left -= room
-                take = min(4 * room, len(ids) - at)
-                held.append((doc, start + (at >> 2), ids[at : at + take], whole))
-                at += take
-                room -= take >> 2
-                if room == 0:
-                    yield held
-                    held = []
-
-
-def pack(documents: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0) -> DataFrame:
+        """Settle, and cut the window that stays open into powers of two."""
+        yield from self.settle()
+        for fill, level in enumerate(self.open):
+            for pieces in level:
+                held, left = [], fill
+                room = 1 << (left.bit_length() - 1)
+                for doc, start, ids, whole in pieces:
+                    at = 0
+                    while at < len(ids):
+                        take = min(4 * room, len(ids) - at)
+                        held.append((doc, start + (at >> 2), ids[at : at + take], whole))
+                        at += take
+                        room -= take >> 2
+                        left -= take >> 2
+                        if room == 0:
+                            yield held
+                            held, room = [], 1 << (left.bit_length() - 1) if left else 0
+
+
+def pack(documents: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0, open_ids: int = 1 << 22) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset), one row for each piece.
 
-    ``ids``: little-endian unsigned 32-bit numbers. ``window``: at least 2.
+    ``ids``: little-endian unsigned 32-bit numbers. ``window``: at least 2. ``open_ids``:
+    open windows that hold more are settled, so a task's memory is bounded.
     """
 
     def run(batches):
@@ -132,6 +170,9 @@ def pack(documents: DataFrame, vocabulary: str, window: int = 1024, end_id: int
                         full = packer.put((doc, at, ids[4 * at :], whole))
                         if full:
                             close(full)
+                if packer.held > open_ids:
+                    for held in packer.settle():
+                        close(held)
                 yield from flush()
         for held in packer.rest():
             close(held)

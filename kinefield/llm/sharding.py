@@ -2,7 +2,8 @@
 
 Groups stand in the order of their smallest doc_id and are never cut. The least
 capacity for which a greedy fill needs no more shards than asked is found by
-binary search, and the greedy fill at that capacity gives the cuts.
+binary search. Within that capacity each cut is the one nearest to an equal share of what
+is left, so no shard stays empty while there are groups.
 
 The driver sees sums of blocks of consecutive groups, not groups: first one sum for
 each range partition, then finer sums of the few blocks in which a cut can lie, at
@@ -17,7 +18,7 @@ sets the capacity by itself.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
@@ -58,9 +59,74 @@ def least_capacity(prefix: list[int], shards: int, low: int) -> int:
     return low
 
 
+Block = tuple[int, int, int, int]  # first place, bytes, groups, bytes of the largest
+
+
+def even_cuts(items: list[Block], capacity: int, shards: int) -> tuple[list[int], set[int]]:
+    """Items at which shards 1, 2, ... begin, and items that a cut may have to go through.
+
+    Each shard has at most ``capacity`` (which must be feasible), a group if there is one,
+    and else about an equal share of what is left for it and the shards after it.
+    """
+    prefix = [0, *accumulate(s for _, s, *_ in items)]
+    groups = [0, *accumulate(n for _, _, n, _ in items)]
+    total, split = prefix[-1], set()
+
+    def place(size: int) -> int:
+        """The first item not before ``size``; an item around it is to be split."""
+        k = bisect_left(prefix, size)
+        if k < len(prefix) and prefix[k] != size and items[k - 1][2] > 1:
+            split.add(k - 1)
+        return k
+
+    # What begins at least[k] just fits into shards k, k + 1, ...
+    least, end = [0] * shards, total
+    for k in range(shards - 1, 0, -1):
+        least[k] = place(end - capacity) if end > capacity else 0
+        end = prefix[least[k]]
+    cuts, at = [], 0
+    for k in range(1, shards):
+        if at + 1 >= len(items) and (at >= len(items) or items[at][2] == 1):
+            break
+        share = prefix[at] + (total - prefix[at]) // (shards - k + 1)
+        to = place(share)
+        to -= to > at + 1 and prefix[to] - share > share - prefix[to - 1]
+        room = prefix[at] + capacity
+        if prefix[to] > room:
+            to = bisect_right(prefix, room) - 1
+            if prefix[to] < room and items[to][2] > 1:
+                split.add(to)
+        to = max(to, least[k], at + 1)
+        # A group for each shard after this one, if there are as many.
+        if groups[-1] - groups[to] < shards - k and to > at + 1:
+            to = max(at + 1, bisect_right(groups, groups[-1] - (shards - k)) - 1)
+        if to == at + 1 and items[at][2] > 1 and groups[-1] - groups[to] < shards - k:
+            split.add(at)
+        if to >= len(items):
+            break
+        cuts.append(to)
+        at = to
+    return cuts, split
+
+
+def _finer(groups: DataFrame, items: list[Block], split: set[int]) -> list[Block]:
+    """The items, those in ``split`` cut into ``FAN`` parts at most."""
+    wanted = [(items[k][0], items[k][0] + items[k][2], -(-items[k][2] // FAN)) for k in sorted(split)]
+    ranges = groups.sparkSession.createDataFrame(wanted, "first long, last long, step long")
+    # Ranges of places don't overlap and lie within one partition, which is the key.
+    found = (
+        groups.withColumn("part", F.shiftright("place", _ROW_BITS))
+        .join(F.broadcast(ranges.withColumn("part", F.shiftright("first", _ROW_BITS))), "part")
+        .filter("place >= first and place < last")
+        .groupBy("first", F.expr("(place - first) div step").alias("sub"))
+        .agg(F.min("place").alias("p"), F.sum("bytes").alias("s"), F.count("*").alias("n"), F.max("bytes").alias("m"))
+    )
+    finer = [(r["p"], r["s"], r["n"], r["m"]) for r in found.collect()]
+    return sorted([x for k, x in enumerate(items) if k not in split] + finer)
+
+
 def _cut_places(groups: DataFrame, shards: int) -> list[int]:
     """Places (see ``minimax_shards``) at which shards 1, 2, ... begin."""
-    spark = groups.sparkSession
     rows = groups.groupBy(F.shiftright("place", _ROW_BITS).alias("b")).agg(
         F.min("place").alias("p"), F.sum("bytes").alias("s"), F.count("*").alias("n"), F.max("bytes").alias("m")
     )
@@ -79,19 +145,13 @@ def _cut_places(groups: DataFrame, shards: int) -> list[int]:
             a, b = bisect_right(prefix, lowest) - 1, bisect_right(prefix, highest) - 1
             split.update(k for k in range(a, min(b + 1, len(items))) if items[k][2] > 1)
         if not split:
-            return [items[k][0] for k in greedy(prefix, high, shards)]
-        wanted = [(items[k][0], items[k][0] + items[k][2], -(-items[k][2] // FAN)) for k in sorted(split)]
-        ranges = spark.createDataFrame(wanted, "first long, last long, step long")
-        # Ranges of places don't overlap and lie within one partition, which is the key.
-        found = (
-            groups.withColumn("part", F.shiftright("place", _ROW_BITS))
-            .join(F.broadcast(ranges.withColumn("part", F.shiftright("first", _ROW_BITS))), "part")
-            .filter("place >= first and place < last")
-            .groupBy("first", F.expr("(place - first) div step").alias("sub"))
-            .agg(F.min("place").alias("p"), F.sum("bytes").alias("s"), F.count("*").alias("n"), F.max("bytes").alias("m"))
-        )
-        finer = [(r["p"], r["s"], r["n"], r["m"]) for r in found.collect()]
-        items = sorted([x for k, x in enumerate(items) if k not in split] + finer)
+            break
+        items = _finer(groups, items, split)
+    while True:
+        cuts, split = even_cuts(items, high, shards)
+        if not split:
+            return [items[k][0] for k in cuts]
+        items = _finer(groups, items, split)
 
 
 def minimax_shards(documents: DataFrame, shards: int = 8) -> DataFrame:

@@ -6,8 +6,8 @@ matches can be told from two neighbours alone: before a single space between sol
 characters, around a single line end between them, and between letters and signs (but
 the apostrophe, which starts contractions). Texts are cut there into units; a unit's ids
 depend on nothing else. A bounded table in numpy, looked up by hash for all units of a
-batch at once, keeps the ids of units met before. All ids come from the tokenizers
-library; texts that hold an added token, and vocabularies with another pattern, are
+batch at once, keeps the ids of units met before; a unit takes them only if its code points
+are those of the unit kept. All ids come from the tokenizers library; texts that hold an added token, and vocabularies with another pattern, are
 encoded whole.
 """
 
@@ -95,6 +95,28 @@ class UnitTable:
         return n
 
 
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each span, one span after another."""
+    done = np.cumsum(size)
+    return np.repeat(start - (done - size), size) + np.arange(done[-1] if len(done) else 0)
+
+
+def _equal(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether spans of ``size`` (1 at least) from ``at`` in a and ``bt`` in b are equal."""
+    if not len(size):
+        return np.zeros(0, bool)
+    same = a[_spread(at, size)] == b[_spread(bt, size)]
+    return np.logical_and.reduceat(same, np.cumsum(size) - size)
+
+
+def _grown(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``held`` with ``more`` from place ``used`` on, with room to grow."""
+    if used + len(more) > len(held):
+        held = np.concatenate([held[:used], np.zeros(max(used, len(more)) + len(more), held.dtype)])
+    held[used : used + len(more)] = more
+    return held
+
+
 class Encoder:
     def __init__(self, path: str, keep: int = KEEP_UNITS):
         from tokenizers import Tokenizer
@@ -115,6 +137,9 @@ class Encoder:
         self.table = UnitTable(keep)
         self.ends = np.zeros(keep + 1, np.int64)
         self.kept = np.zeros(1 << 16, np.uint32)
+        # Code points of the kept units, by which a unit is told from one of equal hash.
+        self.spelt_ends = np.zeros(keep + 1, np.int64)
+        self.spelt = np.zeros(1 << 16, np.uint32)
 
     def plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -163,18 +188,29 @@ class Encoder:
         points = np.frombuffer(big.encode("utf-32-le"), "<u4")
         starts = self._cuts(points, bounds)
         ends = np.append(starts[1:], len(points))
-        hashes = common.span_hashes(common.prefix_sums(points), starts, ends)
+        hashes = common.span_hashes(points.view(np.uint8), 4 * starts, 4 * ends)
+        size = ends - starts
         number = self.table.find(hashes)
+        known = np.flatnonzero(number >= 0)
+        begin = self.spelt_ends[number[known]]
+        right = self.spelt_ends[number[known] + 1] - begin == size[known]
+        right[right] = _equal(points, starts[known[right]], self.spelt, begin[right], size[known[right]])
+        strange = known[~right]  # of a kept unit's hash, but not that unit
         missing = np.flatnonzero(number < 0)
         flat, stops = self.kept, self.ends
-        if len(missing):
+        if len(missing) or len(strange):
             new, first, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
             where = missing[first]
-            found = [self.unit(big[s:e]) for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+            right = size[where[which]] == size[missing]
+            right[right] = _equal(points, starts[missing[right]], points, starts[where[which[right]]], size[missing[right]])
+            strange = np.concatenate([strange, missing[~right]])
+            each = np.concatenate([where, strange])
+            found = [self.unit(big[s:e]) for s, e in zip(starts[each].tolist(), ends[each].tolist(), strict=True)]
             lens = np.fromiter(map(len, found), np.int64, len(found))
             ids = np.fromiter((x for f in found for x in f), np.uint32, int(lens.sum()))
             base = self.table.count
             number[missing] = base + which  # also those that aren't kept
+            number[strange] = base + len(where) + np.arange(len(strange))
             used = int(self.ends[base])
             more = used + np.cumsum(lens)
             stops = np.concatenate([self.ends[: base + 1], more])
@@ -182,14 +218,14 @@ class Encoder:
             n = self.table.add(new)
             if n:
                 self.ends[base + 1 : base + n + 1] = more[:n]
-                size = int(more[n - 1])
-                if size > len(self.kept):
-                    self.kept = np.concatenate([self.kept[:used], np.zeros(size, np.uint32)])
-                self.kept[used:size] = ids[: size - used]
+                self.kept = _grown(self.kept, used, ids[: int(more[n - 1]) - used])
+                spelt = int(self.spelt_ends[base])
+                self.spelt_ends[base + 1 : base + n + 1] = spelt + np.cumsum(size[where[:n]])
+                self.spelt = _grown(self.spelt, spelt, points[_spread(starts[where[:n]], size[where[:n]])])
         begin = stops[number]
         count = stops[number + 1] - begin
         done = np.cumsum(count)
-        out = flat[np.repeat(begin - (done - count), count) + np.arange(done[-1])]
+        out = flat[_spread(begin, count)]
         # The ids before each text's end are those of the units that begin before it.
         return out, np.concatenate([[0], done])[np.searchsorted(starts, bounds[1:])]
 

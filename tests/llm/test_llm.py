@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kinefield.llm import chat, decontam, fingerprints, langid, near_dedup, packing, sharding, substring, tokenfile, warc
+from kinefield.llm import chat, common, decontam, fingerprints, langid, near_dedup, packing, sharding, substring, tokenfile, warc
 from kinefield.llm.common import Scratch
 from kinefield.llm.components import connected
 from kinefield.llm.queries import ORACLES, QUERIES
@@ -208,6 +208,34 @@ def test_units_give_the_library_ids(texts):
 test_units_give_the_library_ids.coder = Encoder(VOCABULARY, 64)
 
 
+def thue_morse(size):
+    """Two texts of which polynomial hashes modulo 2**64 are equal, whatever the base."""
+    text = "a"
+    while len(text) < size:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text, text.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("size", [1024, 2048])
+def test_texts_of_like_structure_are_told_apart(spark, size):
+    pair = thue_morse(size)
+    flat, ends = Encoder(VOCABULARY, 64).encode([*pair, *pair])
+    assert [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [test_units_give_the_library_ids.coder.plain(t) for t in pair] * 2
+    rows = [(k, f"{t}. own{k} b c d e f") for k, t in enumerate(pair)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in near_dedup.near_duplicates(df, width=2).collect()} == {0, 1}
+    assert [r.text for r in substring.remove_repeats(df, min_words=1).orderBy("doc_id").collect()] == [t for _, t in rows]
+
+
+def test_units_are_compared_where_hashes_are_equal(monkeypatch):
+    monkeypatch.setattr(common, "span_hashes", lambda data, start, end, seed=0: ((end - start) % 3).astype(np.uint64))
+    rng, coder = random.Random(1), Encoder(VOCABULARY, 16)
+    for _ in range(4):
+        texts = [" ".join(rng.choice(["ab", "cd", "longer", "zz", "1,2", "é"]) for _ in range(30)) for _ in range(5)]
+        flat, ends = coder.encode(texts)
+        assert [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [coder.plain(t) for t in texts]
+
+
 def test_packing(odd, none):
     window = 64
     rows = packing.pack(odd, VOCABULARY, window).collect()
@@ -242,6 +270,30 @@ def test_sum_of_squares_takes_the_best_level():
         packer.put((0, 0, bytes(4 * size), size))
 
 
+def test_windows_settle():
+    rng, packer, out, total = random.Random(1), packing.SumOfSquares(64), [], 0
+    for k in range(3000):
+        size = rng.randrange(1, 64)
+        total += size
+        full = packer.put((k, 0, np.full(size, k, "<u4").tobytes(), size))
+        out += [full] if full else []
+        if packer.held > 5000:
+            out += list(packer.settle())
+            assert packer.held < 64
+    placed = len(out)
+    out += list(packer.rest())
+    fills = [sum(len(p[2]) // 4 for p in held) for held in out]
+    assert sum(fills) == total and all(n == 64 or n & (n - 1) == 0 for n in fills) and placed > 0.9 * len(out)
+    pieces = {}
+    for held in out:
+        for doc, start, ids, size in held:
+            pieces.setdefault((doc, size), []).append((start, len(ids) // 4))
+            assert set(np.frombuffer(ids, "<u4").tolist()) == {doc}
+    for (_, size), found in pieces.items():
+        ends = np.cumsum([0] + [n for _, n in sorted(found)]).tolist()
+        assert ends[-1] == size and [a for a, _ in sorted(found)] == ends[:-1]
+
+
 def test_token_files(spark, odd, none):
     scratch = Scratch(spark, "t")
     manifest = scratch.table(tokenfile.write_shards(odd, scratch.path("files"), VOCABULARY, 2, shard_ids=200), "m")
@@ -249,11 +301,13 @@ def test_token_files(spark, odd, none):
     coder, at = Encoder(VOCABULARY, 64), 0
     ids = {t or "": coder.plain(t or "") + [2] for _, t, *_ in ODD}
     assert [r.doc_id for r in rows] == [None, 1, 2, 2, 3, 4, 5, 6, 7, 7, 8]
+    wanted = sorted((d or -1, ids[t or ""]) for d, t, *_ in ODD)
+    assert sorted((r.doc_id or -1, np.frombuffer(r.ids, "<u4").tolist()) for r in rows) == wanted
     for r in rows:
-        assert r.start == at and np.frombuffer(r.ids, "<u4").tolist() in ids.values()
+        assert r.start == at
         at += len(r.ids) // 4
-    found = tokenfile.lookup(manifest, [6, 2, 99])
-    assert {k: len(v) for k, v in found.items()} == {6: 1, 2: 2} and found[6][0].tolist() == ids["word"]
+    found = sorted((r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in tokenfile.lookup(manifest, [6, 2, 99, 6]).collect())
+    assert found == [(2, ids[ODD[1][1]])] * 2 + [(6, ids["word"])] and tokenfile.lookup(manifest, []).count() == 0
     empty = scratch.table(tokenfile.write_shards(none, scratch.path("s2"), VOCABULARY), "m2")
     assert tokenfile.read_shards(empty).count() == 0
 
@@ -310,8 +364,26 @@ def test_excerpts_are_found():
             assert scanner.find(text, np.array([0, len(text)]))
 
 
+def test_short_items_and_signs(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "PAIRS", 50)
+    long = "the “long” item — with typographic signs… that is sought by grams and alignment"
+    bench = spark.createDataFrame([(1, "Blue whale!"), (2, "x1"), (3, long), (4, "..."), (5, long), (5, long)], "item_id long, text string")
+    texts = [
+        "a blue   WHALE, swims", "blue whales", "ablue whale", "blue whale", "no x12", "(x1)",
+        'see: the "long" item - with typographic signs... that is sought by grams and alignment', "",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {0: [1], 1: [], 2: [], 3: [1], 4: [], 5: [2], 6: [3, 5], 7: []}
+    for options in ({}, {"group_bytes": 40}):
+        rows = decontam.find_contamination(df, bench, **options).collect()
+        assert {r.doc_id: r["items"] for r in rows} == want
+        assert {texts[0][p.start : p.end] for r in rows if r.doc_id == 0 for p in r.places} == {"blue   WHALE"}
+        kept = decontam.drop_contaminated(df, bench, **options)
+        assert sorted(r.doc_id for r in kept.collect()) == [k for k, x in want.items() if not x]
+
+
 def test_contamination_of_odd_rows(spark, odd, none):
-    bench = spark.createDataFrame([(1, ODD[0][1]), (2, None), (3, "short")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, ODD[0][1]), (2, None), (3, "shortest")], "item_id long, text string")
     got = decontam.find_contamination(odd, bench).collect()
     assert sorted(r.doc_id or 0 for r in got if r.contaminated) == [0, 1, 2, 2] and len(got) == len(ODD)
     assert decontam.find_contamination(none, bench).count() == 0
@@ -348,6 +420,39 @@ def test_passages_of_short_lines(spark):
     assert "Own." in got[3].text
 
 
+@settings(max_examples=8, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from(["line", "paragraph"]))
+def test_units_by_brute_force(spark, seed, unit):
+    rng, parted = random.Random(seed), "\n" if unit == "line" else "\n\n"
+    line = lambda: rng.choice(["A b. c", "a  B. C ", "x", "ü 1", "", " \t", "d. e. f"])
+    rows = [(rng.choice([None, 1, 2, 3]), parted.join(line() for _ in range(rng.randrange(6)))) for _ in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring.remove_repeats(df, unit=unit).collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, r[2])
+    hashed = df.select("doc_id", "text", F.xxhash64("text").alias("h")).distinct().collect()
+    seen, want = set(), {}
+    for doc, text, _ in sorted(hashed, key=key):
+        kept, pieces = "", [p + parted for p in text.split(parted)]
+        pieces[-1] = pieces[-1][: -len(parted)]
+        for piece in pieces:
+            words = tuple(piece.lower().split())
+            if not words or words not in seen:
+                kept += piece
+            seen.add(words)
+        want[doc, text] = kept
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got))) == sorted(repr((d, want[d, t])) for d, t in rows)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame(ODD, DOCS)
+    for name in ("gone", "_gone", "doc", "row", "cut", "removed", "x", "y", "low", "line", "member", "hub", "key", "component_id"):
+        df = df.withColumn(name, F.lit(name))
+    assert near_dedup.drop_near_duplicates(df).columns == df.columns and near_dedup.drop_near_duplicates(df).count() == 9
+    out = substring.remove_repeats(df, min_words=3)
+    assert sorted(out.columns) == sorted(df.columns) and out.count() == len(ODD)
+    assert {r.cut for r in out.select("cut").collect()} == {"cut"}
+
+
 def test_repeated_lines(spark):
     line = "This work is free. Copy it ü."
     rows = [(1, f"One.\n{line}\nTwo."), (2, f"Three.\n{line}\n\nFour. {line}\nShort line\n"), (3, "short  LINE\nFive."), (4, f"Six.\n{line}")]
@@ -381,6 +486,24 @@ def test_least_capacity(sizes, shards):
     assert sharding.least_capacity(prefix, shards, max(sizes)) == want
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=25), st.integers(1, 8), st.data())
+def test_even_cuts(sizes, shards, data):
+    prefix = [sum(sizes[:k]) for k in range(len(sizes) + 1)]
+    capacity = sharding.least_capacity(prefix, shards, max(max(sizes), -(-sum(sizes) // shards)))
+    blocks, at = [], 0
+    while at < len(sizes):
+        part = sizes[at : at + data.draw(st.integers(1, 4))]
+        blocks.append((at, sum(part), len(part), max(part)))
+        at += len(part)
+    while (found := sharding.even_cuts(blocks, capacity, shards))[1]:
+        cut = [(p + k, sizes[p + k], 1, sizes[p + k]) for p, _, n, _ in (blocks[i] for i in found[1]) for k in range(n)]
+        blocks = sorted([x for i, x in enumerate(blocks) if i not in found[1]] + cut)
+    bounds = [0, *(blocks[k][0] for k in found[0]), len(sizes)]
+    filled = [sum(sizes[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+    assert max(filled) <= capacity and len(filled) == min(shards, len(sizes)) and min(filled) > 0
+
+
 def test_shards(spark, odd, none, monkeypatch):
     monkeypatch.setattr(sharding, "FAN", 2)
     rng = random.Random(2)
