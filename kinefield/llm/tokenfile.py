@@ -1,11 +1,20 @@
 """Token id shards with a minimal perfect hash index.
 
 A shard is two files. ``<name>.ids`` holds the ids of its rows one after another, in 2
-or 4 bytes each, little-endian. ``<name>.idx`` is an uncompressed ``.npz``: ``keys`` and
-``ends`` of the rows in order, and the index: bit levels of a minimal perfect hash over
-the distinct keys, and by its values a 32-bit fingerprint of the key, its first row and
-its count of rows. A lookup costs a few probes, however many keys there are, and a key
-that isn't there is told by its fingerprint but for one in 2**32.
+or 4 bytes each, little-endian. ``<name>.idx`` begins with the length of a JSON header (8
+bytes, little-endian) and the header, which names the sections after it and where they lie:
+
+- ``bits``: bit levels of a minimal perfect hash over the distinct keys, in blocks of 512,
+  and ``ranks``: the set bits before each block;
+- by the hash's values ``prints`` (32-bit fingerprints of the keys), ``first`` and
+  ``counts`` (the key's first row and its count of rows);
+- ``ends``: by row, the ids up to its end;
+- ``keys`` and ``valid``: by row, the key and whether there is one. A lookup doesn't read
+  these; they tell a reader of the whole shard what to look up.
+
+``Shard.get`` reads the header once and then a few bytes of a few sections for each key,
+however many keys there are. A key that isn't there is told by its fingerprint but for one
+in 2**32.
 
 Rows are range partitioned by doc_id and sorted, so shards follow each other in doc_id
 order; a shard ends at a bound of ids. Writers give files names of their own for each
@@ -13,18 +22,19 @@ attempt, and only names in the written manifest count, so a lost or repeated tas
 no wrong row.
 
 Defined results: a null text is empty and so one end id. Rows with a null doc_id come
-first and aren't in the index. Rows that share a doc_id stand together, by a hash of
-their text. An empty table gives an empty manifest. Extra columns are ignored.
+first and have no key. Rows that share a doc_id stand together, by a hash of their text. A
+very long text is encoded alone. An empty table gives an empty manifest. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
-import io
+import json
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinefield.llm import common
@@ -48,7 +58,7 @@ class MinimalHash:
 
     @staticmethod
     def slots(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        mixed = common.mix(keys ^ (np.uint64(level + 1) * common.BASE))
+        mixed = common.mix(keys ^ np.uint64((level + 1) * int(common.BASE) % (1 << 64)))
         return ((mixed >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
 
     @classmethod
@@ -93,38 +103,65 @@ def file_system(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+#: Bits of a block of the hash's levels.
+BLOCK = 512
+
+
 class Shard:
     """A written shard, opened for reading."""
 
     def __init__(self, path: str):
         store, at = file_system(path)
-        with store.open_input_stream(at + ".idx") as f:
-            parts = np.load(io.BytesIO(f.read()))
-        self.keys, self.valid, self.ends = parts["keys"], parts["valid"], parts["ends"]
-        self.prints, self.rows, self.counts = parts["prints"], parts["rows"], parts["counts"]
-        self.width = int(parts["width"])
-        cuts = np.cumsum(parts["sizes"])[:-1]
-        bits = np.unpackbits(parts["bits"])[: int(parts["sizes"].sum())].astype(bool)
-        self.hash = MinimalHash(np.split(bits, cuts) if len(parts["sizes"]) else [])
+        self.index = store.open_input_file(at + ".idx")
+        size = int.from_bytes(self._bytes(self.index, 0, 8), "little")
+        self.head = json.loads(self._bytes(self.index, 8, size))
+        self.base, self.width, self.rows = 8 + size, self.head["width"], self.head["rows"]
+        self.starts = np.concatenate([[0], np.cumsum(self.head["levels"])]).astype(np.int64)
         self.file = store.open_input_file(at + ".ids")
 
+    @staticmethod
+    def _bytes(file, at: int, size: int) -> bytes:
+        file.seek(at)
+        return file.read(size)
+
+    def part(self, name: str, at: int = 0, count: int | None = None) -> np.ndarray:
+        """Items of a section, all from ``at`` on or ``count`` of them."""
+        kind, offset, n = self.head["sections"][name]
+        kind = np.dtype(kind)
+        count = n - at if count is None else count
+        return np.frombuffer(self._bytes(self.index, self.base + offset + at * kind.itemsize, count * kind.itemsize), kind)
+
+    def get(self, key: int) -> tuple[int, int]:
+        """The first row and the count of rows of a key, by a few short reads; or -1 and 0."""
+        hashed = _hashed(np.array([key]))
+        for level, size in enumerate(self.head["levels"]):
+            bit = int(self.starts[level] + MinimalHash.slots(hashed, level, size)[0])
+            block = np.unpackbits(self.part("bits", bit // BLOCK * (BLOCK // 8), BLOCK // 8))
+            if block[bit % BLOCK]:
+                value = int(self.part("ranks", bit // BLOCK, 1)[0]) + int(block[: bit % BLOCK].sum())
+                if self.part("prints", value, 1)[0] != _fingerprints(hashed)[0]:
+                    return -1, 0
+                return int(self.part("first", value, 1)[0]), int(self.part("counts", value, 1)[0])
+        return -1, 0
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The first row and the count of rows of each key; -1 and 0 where it isn't here."""
+        """``get`` for many keys at once, from the whole index."""
+        bits = np.unpackbits(self.part("bits")).astype(bool)
+        made = MinimalHash([bits[a:b] for a, b in zip(self.starts[:-1], self.starts[1:], strict=True)])
         hashed = _hashed(keys)
-        value = self.hash.find(hashed)
+        value = made.find(hashed)
         known = value >= 0
-        known[known] = self.prints[value[known]] == _fingerprints(hashed[known])
+        known[known] = self.part("prints")[value[known]] == _fingerprints(hashed[known])
         row, count = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-        row[known], count[known] = self.rows[value[known]], self.counts[value[known]]
+        row[known], count[known] = self.part("first")[value[known]], self.part("counts")[value[known]]
         return row, count
 
-    def span(self, row: int) -> tuple[int, int]:
-        return (int(self.ends[row - 1]) if row else 0), int(self.ends[row])
-
     def ids(self, row: int) -> np.ndarray:
-        a, b = self.span(row)
-        self.file.seek(a * self.width)
-        raw = self.file.read((b - a) * self.width)
+        ends = self.part("ends", max(row - 1, 0), 1 + (row > 0)).tolist()
+        return self.between(ends[0] if row else 0, ends[-1])
+
+    def between(self, a: int, b: int) -> np.ndarray:
+        raw = self._bytes(self.file, a * self.width, (b - a) * self.width)
         return np.frombuffer(raw, "<u2" if self.width == 2 else "<u4").astype("<u4")
 
 
@@ -154,27 +191,36 @@ class _Writer:
         hashed = _hashed(distinct)
         made = MinimalHash.build(hashed)
         value = made.find(hashed)
-        prints, rows, many = np.zeros(len(value), np.uint32), np.zeros(len(value), np.int64), np.zeros(len(value), np.int64)
+        prints, rows, many = np.zeros(len(value), "<u4"), np.zeros(len(value), "<i8"), np.zeros(len(value), "<i8")
         prints[value], rows[value], many[value] = _fingerprints(hashed), there[first], counts
         bits = np.concatenate(made.levels) if made.levels else np.zeros(0, bool)
-        held = io.BytesIO()
-        np.savez(
-            held, keys=keys, valid=valid, ends=np.concatenate(self.ends).astype(np.int64), width=self.width,
-            bits=np.packbits(bits), sizes=np.array([len(x) for x in made.levels], np.int64),
-            prints=prints, rows=rows, counts=many,
-        )
+        bits = np.concatenate([bits, np.zeros(-len(bits) % BLOCK, bool)])
+        ranks = np.cumsum(np.concatenate([[0], bits.reshape(-1, BLOCK).sum(axis=1)]))[:-1]
+        sections, offset, blob = {}, 0, []
+        for name, part in {
+            "bits": np.packbits(bits), "ranks": ranks.astype("<i8"), "prints": prints, "first": rows, "counts": many,
+            "ends": np.concatenate(self.ends).astype("<i8"), "keys": keys.astype("<i8"), "valid": valid.astype("u1"),
+        }.items():
+            sections[name] = [part.dtype.str, offset, len(part)]
+            blob.append(part.tobytes())
+            offset += len(blob[-1])
+        head = {"width": self.width, "rows": len(keys), "levels": [len(x) for x in made.levels], "sections": sections}
+        data = json.dumps(head).encode()
         with self.store.open_output_stream(self.at + ".idx") as f:
-            f.write(held.getvalue())
-        return self.name, len(self.keys), self.ids
+            f.write(len(data).to_bytes(8, "little") + data)
+            for part in blob:
+                f.write(part)
+        known = keys[there]
+        return self.name, len(keys), self.ids, *((int(known.min()), int(known.max())) if len(known) else (None, None))
 
 
 def write_shards(
     documents: DataFrame, folder: str, vocabulary: str, end_id: int = 2, shard_ids: int = 1 << 23
 ) -> DataFrame:
-    """Write all documents; the manifest (part, shard, path, rows, ids), lazily.
+    """Write all documents; the manifest (part, shard, path, rows, ids, low, high), lazily.
 
     Materialise the manifest before use: only the files that it names count.
-    ``shard_ids``: a shard ends when it has so many.
+    ``shard_ids``: a shard ends when it has so many. ``low`` and ``high``: its keys' bounds.
     """
     spark = documents.sparkSession
 
@@ -206,45 +252,51 @@ def write_shards(
         .repartitionByRange(common.partitions(spark), "doc_id")
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
     )
-    return ordered.mapInArrow(run, "part int, shard int, path string, rows long, ids long")
+    manifest = ordered.mapInArrow(run, "part int, shard int, path string, rows long, ids long, low long, high long")
+    # A row for each shard: gathered, so that the manifest is a few files.
+    return manifest.repartition(1 + common.partitions(spark) // 64)
 
 
 def _manifest(part: int, number: int, writer: _Writer) -> pa.RecordBatch:
-    path, rows, ids = writer.close()
-    return pa.RecordBatch.from_arrays(
-        [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([path]), pa.array([rows]), pa.array([ids])],
-        names=["part", "shard", "path", "rows", "ids"],
-    )
+    path, *rest = writer.close()
+    names = ["part", "shard", "path", "rows", "ids", "low", "high"]
+    values = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([path])]
+    return pa.RecordBatch.from_arrays([*values, *(pa.array([x], pa.int64()) for x in rest)], names=names)
 
 
-def read_shards(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, ids) of all rows, each found by its key in its shard's index.
+def read_shards(manifest: DataFrame, task_ids: int = 1 << 23) -> DataFrame:
+    """(doc_id, start, ids) of all rows, each read where its key's index entry says.
 
-    ``start``: the ids of all documents before it. The driver gets the manifest, a row
-    for each shard.
+    ``start``: the ids of all documents before it. The driver gets a sum for each partition
+    that wrote, not a row for each shard. ``task_ids``: ids that a task reads, about.
     """
     spark = manifest.sparkSession
     listed, before = [], 0
-    for r in sorted(manifest.collect(), key=lambda r: (r["part"], r["shard"])):
-        listed.append((r["path"], before))
+    for r in sorted(manifest.groupBy("part").agg(F.sum("ids").alias("ids")).collect()):
+        listed.append((r["part"], before))
         before += r["ids"]
 
     def run(batches):
         for batch in batches:
             for path, base in zip(*(batch.column(c).to_pylist() for c in ("path", "base")), strict=True):
                 shard = Shard(path)
-                row, count = shard.find(shard.keys[shard.valid])
-                # Rows of one key stand together: the i-th takes the i-th of its run.
-                rows = np.arange(len(shard.keys))
-                if (count < 1).any() or (row > rows[shard.valid]).any() or (row + count <= rows[shard.valid]).any():
+                valid, keys = shard.part("valid").astype(bool), shard.part("keys")
+                ends = np.concatenate([[0], shard.part("ends")])
+                row, count = shard.find(keys[valid])
+                # Rows of one key stand together: the i-th takes the i-th of its entry.
+                turn = np.arange(len(row)) - np.searchsorted(keys[valid], keys[valid])
+                if (turn >= count).any():
                     raise ValueError(f"{path}: the index doesn't agree with its keys")
+                # Rows without a key come first.
+                rows = np.concatenate([np.flatnonzero(~valid), row + turn])
+                known = np.concatenate([np.full(int((~valid).sum()), -1), np.flatnonzero(valid)])
                 for a in range(0, len(rows), common.BATCH_ROWS):
-                    some = rows[a : a + common.BATCH_ROWS]
+                    some, of = rows[a : a + common.BATCH_ROWS], known[a : a + common.BATCH_ROWS]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(shard.keys[some], mask=~shard.valid[some]),
-                            pa.array([base + shard.span(r)[0] for r in some]),
-                            pa.array([shard.ids(r).tobytes() for r in some], pa.binary()),
+                            pa.array(keys[of], mask=of < 0),
+                            pa.array(base + ends[some]),
+                            pa.array([shard.between(*ends[r : r + 2].tolist()).tobytes() for r in some], pa.binary()),
                         ],
                         names=["doc_id", "start", "ids"],
                     )
@@ -252,17 +304,29 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     schema = "doc_id long, start long, ids binary"
     if not listed:
         return spark.createDataFrame([], schema)
-    shards = spark.createDataFrame(listed, "path string, base long").repartition(max(1, min(len(listed), 10_000)))
-    return shards.mapInArrow(run, schema)
-
-
-def lookup(manifest: DataFrame, keys: list[int]) -> dict[int, list[np.ndarray]]:
-    """The ids of each key's rows; shards that hold none of them cost one index each."""
-    found: dict[int, list[np.ndarray]] = {}
-    wanted = np.array(keys, np.int64)
-    for r in manifest.collect():
-        shard = Shard(r["path"])
-        for key, row, count in zip(keys, *(x.tolist() for x in shard.find(wanted)), strict=True):
-            for k in range(row, row + count):
-                found.setdefault(key, []).append(shard.ids(k))
-    return found
+    bases = F.broadcast(spark.createDataFrame(listed, "part int, before long"))
+    earlier = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.col("before") + F.coalesce(F.sum("ids").over(earlier), F.lit(0))
+    shards = manifest.join(bases, "part").select("path", base.alias("base"))
+    return shards.repartition(max(1, min(before // task_ids + 1, 10_000))).mapInArrow(run, schema)
+
+
+def lookup(manifest: DataFrame, keys: list[int]) -> DataFrame:
+    """(doc_id, ids) of the rows of some keys; only shards whose bounds hold one are opened.
+
+    The driver gets the key bounds of each partition that wrote.
+    """
+    spark = manifest.sparkSession
+    bounds = manifest.groupBy("part").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low is not null").collect()
+    wanted = [(r["part"], k) for r in bounds for k in sorted(set(keys)) if r["low"] <= k <= r["high"]]
+
+    def run(batches):
+        for batch in batches:
+            for path, key in zip(*(batch.column(c).to_pylist() for c in ("path", "key")), strict=True):
+                shard = Shard(path)
+                row, count = shard.get(key)
+                found = [shard.ids(k).tobytes() for k in range(row, row + count)]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * count, pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "ids"])
+
+    asked = spark.createDataFrame(wanted, "part int, key long")
+    return manifest.join(asked, "part").filter("key between low and high").select("path", "key").mapInArrow(run, "doc_id long, ids binary")
