@@ -6,10 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def div(a: Column, n: int) -> Column:
     """Integer division that truncates towards zero."""
     return F.when(a >= 0, F.floor(a / n)).otherwise(F.ceil(a / n)).cast("int")
@@ -29,6 +25,10 @@ def least_non_negative(*xs: Column) -> Column:
     return F.coalesce(F.array_min(F.filter(F.array(*xs), lambda x: x >= 0)), F.lit(-1))
 
 
+def clamp(x: Column, low: int, high: int) -> Column:
+    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+
+
 def ceil_log2(n: Column) -> Column:
     return F.when(n <= 1, 0).otherwise(F.length(F.bin((n - 1).cast("long")))).cast("int")
 
@@ -75,6 +75,29 @@ def morton(x: Column, y: Column, bits: int = 4) -> Column:
     return out
 
 
+def block_xy(index: Column) -> Column:
+    """(x, y) of a 4x4 block of a macroblock, in blocks; ``morton`` of them is the index."""
+    bit = lambda k: F.shiftright(index, k).bitwiseAND(1)
+    return F.struct((bit(0) + 2 * bit(2)).alias("x"), (bit(1) + 2 * bit(3)).alias("y"))
+
+
+def units_across(size: Column, log2: int) -> Column:
+    """How many blocks of 2**log2 cover a size."""
+    return F.shiftright((size + ((1 << log2) - 1)).cast("int"), log2)
+
+
+def mb_height(map_units: Column, frame_mbs_only: Column) -> Column:
+    """Macroblock rows of a picture; map units are pairs of rows where fields may be coded."""
+    return (2 - frame_mbs_only.cast("int")) * map_units
+
+
+def chroma_blocks(format_idc: Column) -> Column:
+    """4x4 blocks (across, down) of one chroma plane of a macroblock."""
+    across = F.when(format_idc == 3, 4).when(format_idc == 0, 0).otherwise(2)
+    down = F.when(format_idc == 1, 2).when(format_idc == 0, 0).otherwise(4)
+    return F.struct(across.alias("across"), down.alias("down"))
+
+
 def context_state(m: Column, n: Column, qp: Column) -> Column:
     """The first state of an arithmetic decoder's context: twice the index, plus the bit."""
     pre = F.least(F.greatest(F.shiftright(m * F.least(F.greatest(qp, F.lit(0)), F.lit(51)), 4) + n, F.lit(1)), F.lit(126))
@@ -120,6 +143,24 @@ def hevc_nal(first: Column, second: Column) -> Column:
     )
 
 
+def is_vcl(kind: Column, codec: str = "h264") -> Column:
+    return kind < 32 if codec == "hevc" else kind.between(1, 5)
+
+
+def is_idr(kind: Column, codec: str = "h264") -> Column:
+    return kind.isin(19, 20) if codec == "hevc" else kind == 5
+
+
+def is_irap(kind: Column) -> Column:
+    """HEVC pictures from which decoding can begin."""
+    return kind.between(16, 23)
+
+
+def is_bla(kind: Column) -> Column:
+    """HEVC pictures after a broken link: the high part of the display count is dropped."""
+    return kind.between(16, 18)
+
+
 def h264_slice_type(code: Column) -> Column:
     return F.element_at(F.array(*(F.lit(x) for x in ("P", "B", "I", "SP", "SI"))), (code % 5 + 1).cast("int"))
 
@@ -138,6 +179,50 @@ def parse_double(text: Column) -> Column:
     return F.when(plain, text.try_cast("double")).otherwise(named)
 
 
+def _digits(x: Column) -> tuple[Column, Column]:
+    """Digits of a finite number other than 0, and where the point stands: 0.digits * 10**point."""
+    text = F.regexp_replace(x.cast("string"), "^-", "")
+    whole = F.substring_index(text, "E", 1)
+    power = F.coalesce(F.get(F.split(text, "E"), F.lit(1)).cast("int"), F.lit(0))
+    plain = F.regexp_replace(whole, r"\.", "")
+    found = F.ltrim(plain, F.lit("0"))
+    point = F.length(F.substring_index(whole, ".", 1)) - (F.length(plain) - F.length(found)) + power
+    return F.rtrim(found, F.lit("0")), point
+
+
+def _named(x: Column, zero: str, other: Column) -> Column:
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    out = F.when(F.isnan(x), "NaN").when(x.isin(float("inf"), float("-inf")), F.concat(sign, F.lit("inf")))
+    return out.when(x == 0, F.concat(sign, F.lit(zero))).otherwise(F.concat(sign, other))
+
+
+def plain_text(x: Column) -> Column:
+    """A double in digits without an exponent, however long; whole numbers without a point."""
+    d, point = _digits(x)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), d)
+    split = F.concat(F.substr(d, F.lit(1), point), F.lit("."), F.substr(d, point + 1))
+    return _named(x, "0", F.when(point <= 0, small).when(point >= F.length(d), F.rpad(d, point, F.lit("0"))).otherwise(split))
+
+
+def short_text(x: Column) -> Column:
+    """A double with a point, or an exponent beyond 16 digits before or 5 after the point."""
+    d, point = _digits(x)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), d)
+    whole = F.concat(F.rpad(d, point, F.lit("0")), F.lit(".0"))
+    split = F.concat(F.substr(d, F.lit(1), point), F.lit("."), F.substr(d, point + 1))
+    tail = F.when(F.length(d) > 1, F.concat(F.lit("."), F.substr(d, F.lit(2)))).otherwise("")
+    power = F.concat(F.substr(d, F.lit(1), F.lit(1)), tail, F.lit("e"), (point - 1).cast("string"))
+    text = F.when((point > 16) | (point <= -5), power).when(point <= 0, small)
+    return _named(x, "0.0", text.when(point >= F.length(d), whole).otherwise(split))
+
+
+def saturated_long(x: Column) -> Column:
+    """A double as a 64-bit integer: truncated, clamped, NaN as 0."""
+    top = 9.223372036854775807e18
+    whole = F.when(x >= top, F.lit((1 << 63) - 1)).when(x <= -top, F.lit(-(1 << 63))).otherwise(x.cast("long"))
+    return F.when(F.isnan(x), F.lit(0).cast("long")).otherwise(whole)
+
+
 def saturated_int(x: Column) -> Column:
     """A double as a 32-bit integer: truncated, clamped, NaN as 0."""
     clamped = F.least(F.greatest(x, F.lit(-2147483648.0)), F.lit(2147483647.0))

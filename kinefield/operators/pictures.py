@@ -36,25 +36,29 @@ def group_slices(slices: DataFrame) -> DataFrame:
     return rows.withColumn("n_slices", F.size("slices"))
 
 
-def display_order(pictures: DataFrame, bits: int | Column, anchor: Column | None = None) -> DataFrame:
+def display_order(pictures: DataFrame, bits: int | Column, anchor: Column | None = None, restart: Column | None = None) -> DataFrame:
     """Display counts from their low bits (lsb); ``anchor``: pictures that are counted from.
 
+    For HEVC, anchors are pictures of temporal id 0, and counting starts anew at ``restart``:
+    IDR pictures and those after a broken link, whose high part is dropped.
+
     A count that falls by half the range or more from the anchor before it has wrapped up,
-    one that rises by more has wrapped down. Counting starts anew at each ``idr``.
+    one that rises by more has wrapped down. Without ``restart`` counting starts anew at each ``idr``.
     """
     bits = F.lit(bits) if isinstance(bits, int) else bits
     top, half = (F.call_function("shiftleft", F.lit(1), b) for b in (bits, bits - 1))
     anchor = F.col("is_ref") if anchor is None else anchor
-    epoch = F.sum(F.col("idr").cast("int")).over(Window.partitionBy("video").orderBy("seq"))
-    rows = pictures.withColumns({"_epoch": epoch, "_anchor": anchor})
+    restart = F.col("idr") if restart is None else restart
+    epoch = F.sum(restart.cast("int")).over(Window.partitionBy("video").orderBy("seq"))
+    rows = pictures.withColumns({"_epoch": epoch, "_anchor": anchor, "_restart": restart})
     part = ("video", "_epoch")
     low = F.coalesce(F.last(F.when(F.col("_anchor"), F.col("lsb")), ignorenulls=True).over(_before(partition=part)), F.lit(0))
     up = F.when((F.col("lsb") < low) & (low - F.col("lsb") >= half), top)
     step = up.when((F.col("lsb") > low) & (F.col("lsb") - low > half), -top).otherwise(0)
-    rows = rows.withColumn("_step", F.when(F.col("idr"), 0).otherwise(step))
+    rows = rows.withColumn("_step", F.when(F.col("_restart"), 0).otherwise(step))
     # A step lasts only if an anchor takes it.
     base = F.coalesce(F.sum(F.when(F.col("_anchor"), F.col("_step"))).over(_before(partition=part)), F.lit(0))
-    return rows.withColumn("poc", (base + F.col("_step") + F.col("lsb")).cast("int")).drop("_epoch", "_anchor", "_step")
+    return rows.withColumn("poc", (base + F.col("_step") + F.col("lsb")).cast("int")).drop("_epoch", "_anchor", "_restart", "_step")
 
 
 def reference_list(first: Column, second: Column, n: Column) -> Column:
@@ -65,29 +69,45 @@ def reference_list(first: Column, second: Column, n: Column) -> Column:
 
 
 def last_references(pictures: DataFrame, keep: int = 16) -> DataFrame:
-    """Each picture with the last ``keep`` reference pictures before it, oldest first."""
-    rank = F.sum(F.col("is_ref").cast("int")).over(Window.partitionBy("video").orderBy("seq"))
-    rows = pictures.withColumn("_rank", rank - F.col("is_ref").cast("int"))
-    held = F.collect_list(F.when(F.col("is_ref"), F.struct("_rank", "frame", "poc"))).over(_before())
-    held = F.slice(held, F.greatest(F.size(held) - keep + 1, F.lit(1)), keep)
-    return rows.withColumn("dpb", F.transform(held, lambda s: F.struct(s["frame"], s["poc"]))).drop("_rank")
+    """Each picture with the last ``keep`` reference pictures before it, oldest first.
+
+    References are numbered, and a frame over the numbers holds ``keep`` of them, however
+    long the video is.
+    """
+    ref = F.col("is_ref").cast("int")
+    rank = F.sum(ref).over(Window.partitionBy("video").orderBy("seq"))
+    rows = pictures.withColumn("_rank", rank - ref)
+    last = Window.partitionBy("video").orderBy("_rank").rangeBetween(-keep, -1)
+    held = F.collect_list(F.when(F.col("is_ref"), F.struct("frame", "poc"))).over(last)
+    return rows.withColumn("dpb", held).drop("_rank")
 
 
-def collocated(pictures: DataFrame, keep: int = 16) -> DataFrame:
-    """The nearest later reference in display order, else the nearest earlier one.
+def collocated(pictures: DataFrame, keep: int = 16, n0: Column | None = None, n1: Column | None = None) -> DataFrame:
+    """The head of list 1: the nearest later reference in display order, else the nearest earlier one.
 
     Of the last ``keep`` references before each picture; pictures without one are dropped.
+    ``n0`` and ``n1``: entries of both lists (1 where not given). Where both lists come out
+    equal and longer than one, as all references lie on one side and the lists are of one
+    length, list 1 has its first two swapped, so the second nearest is taken.
+
     References are numbered, so the candidates come from an equi-join on their numbers and
     a picture has ``keep`` of them at most.
     """
     running = Window.partitionBy("video").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     seen = F.coalesce(F.sum(F.col("is_ref").cast("int")).over(running), F.lit(0))
-    rows = pictures.withColumn("_seen", seen)
+    one = F.lit(1)
+    sizes = {"_n0": F.greatest(one if n0 is None else n0, one), "_n1": F.greatest(one if n1 is None else n1, one)}
+    rows = pictures.withColumns({"_seen": seen, **sizes})
     refs = rows.filter("is_ref").select("video", F.col("_seen").alias("_no"), F.col("frame").alias("col_frame"), F.col("poc").alias("col_poc"))
     wanted = rows.filter("_seen > 0").withColumn(
         "_no", F.explode(F.sequence(F.greatest(F.col("_seen") - keep, F.lit(0)), F.col("_seen") - 1))
     )
     near = wanted.join(refs, ["video", "_no"]).filter("col_poc <> poc")
-    key = F.struct((F.col("col_poc") < F.col("poc")).alias("past"), F.abs(F.col("col_poc") - F.col("poc")).alias("far"), (-F.col("_no")).alias("late"), "col_frame", "col_poc")
-    best = near.groupBy("video", "frame", "poc").agg(F.min(key).alias("b"))
-    return best.select("video", "frame", "poc", F.col("b.col_frame").alias("col_frame"), F.col("b.col_poc").alias("col_poc"))
+    past = F.col("col_poc") < F.col("poc")
+    key = F.struct(past.alias("past"), F.abs(F.col("col_poc") - F.col("poc")).alias("far"), (-F.col("_no")).alias("late"), "col_frame", "col_poc")
+    held = near.groupBy("video", "frame", "poc", "_n0", "_n1").agg(F.array_sort(F.collect_list(key)).alias("_held"))
+    # Sorted, the first is of the past only if all are.
+    one_side = F.element_at("_held", 1)["past"] == F.element_at("_held", -1)["past"]
+    swapped = one_side & (F.col("_n0") == F.col("_n1")) & (F.col("_n1") > 1) & (F.size("_held") > 1)
+    best = held.withColumn("_b", F.element_at("_held", F.when(swapped, 2).otherwise(1)))
+    return best.select("video", "frame", "poc", F.col("_b.col_frame").alias("col_frame"), F.col("_b.col_poc").alias("col_poc"))

@@ -6,6 +6,7 @@ a set operation; while decoding they are a recursion.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,29 +98,69 @@ def runs(blocks: DataFrame, value: str) -> DataFrame:
 def rectangles(blocks: DataFrame, value: str, most: int = 255) -> DataFrame:
     """Greedy rectangles of equal ``value``: (frame, bx, by_, width, height, value).
 
-    Blocks are taken in raster order; each grows to the right, then down by whole rows.
-    Earlier choices bind later ones, so a picture is one group.
+    Blocks are taken in raster order; each grows to the right, then down by whole rows, to
+    ``most`` blocks. Earlier choices bind later ones, so a picture, whose blocks are
+    bounded, is one group. Blocks with a null value are in no rectangle.
     """
     import pandas as pd
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = {(y, x): v for y, x, v in zip(pdf["by_"], pdf["bx"], pdf[value], strict=True)}
+        codes, values = pd.factorize(pdf[value])  # null is -1
+        xs, ys = pdf["bx"].to_numpy(), pdf["by_"].to_numpy()
+        x0, y0 = int(xs.min()), int(ys.min())
+        grid = np.full((int(ys.max()) - y0 + 1, int(xs.max()) - x0 + 1), -1, np.int64)
+        grid[ys - y0, xs - x0] = codes
         out = []
-        for y, x in sorted(left):
-            if (y, x) not in left:
+        for y, x in zip(*(k.tolist() for k in np.nonzero(grid >= 0)), strict=True):
+            v = grid[y, x]
+            if v < 0:
                 continue
-            v, w, h = left[y, x], 1, 1
-            while w < most and left.get((y, x + w)) == v:
-                w += 1
-            while h < most and all(left.get((y + h, x + k)) == v for k in range(w)):
-                h += 1
-            for dy in range(h):
-                for dx in range(w):
-                    del left[y + dy, x + dx]
-            out.append((pdf["frame"].iloc[0], x, y, w, h, v))
+            differ = grid[y, x : x + most] != v
+            w = int(differ.argmax()) if differ.any() else len(differ)
+            whole = (grid[y : y + most, x : x + w] == v).all(axis=1)
+            h = len(whole) if whole.all() else int(whole.argmin())
+            grid[y : y + h, x : x + w] = -1
+            out.append((pdf["frame"].iloc[0], x + x0, y + y0, w, h, values[v]))
         return pd.DataFrame(out, columns=["frame", "bx", "by_", "width", "height", value])
 
-    kind = dict(blocks.dtypes)[value]
+    kind = blocks.schema[value].dataType.simpleString()
     return blocks.select("frame", "bx", "by_", value).groupBy("frame").applyInPandas(
         merge, f"frame int, bx int, by_ int, width int, height int, `{value}` {kind}"
     )
+
+
+def merged_vectors(blocks: DataFrame, min_block: int = 4) -> DataFrame:
+    """Vectors of merged blocks of an HEVC picture: (frame, seq, source, cx, cy, mv_x, mv_y).
+
+    ``blocks``: frame, bx, by_ (in blocks of ``min_block`` pixels) and, for each list, l0 or
+    l1 (whether it is used), ref0 or ref1, x0, y0 or x1, y1. Blocks merge where all of these
+    are equal, also those of a list that isn't used; blocks that use none are left out. A
+    rectangle over 255 pixels has no rows. List 0 comes before list 1, and a source is the
+    reference number plus 1, negative for list 0. Zero vectors are still there.
+    """
+    fields = ("l0", "ref0", "x0", "y0", "l1", "ref1", "x1", "y1")
+    code = F.concat_ws(",", *(F.col(c).cast("int").cast("string") for c in fields))
+    found = rectangles(blocks.withColumn("code", F.when(F.col("l0") | F.col("l1"), code)), "code", 255 // min_block)
+    width, height = F.col("width") * min_block, F.col("height") * min_block
+    found = found.filter((width <= 255) & (height <= 255)).withColumn("v", F.transform(F.split("code", ","), lambda x: x.cast("int")))
+    lists = F.array(
+        *(
+            F.struct(
+                F.lit(k).alias("list"),
+                F.get("v", F.lit(4 * k)).alias("used"),
+                ((F.get("v", F.lit(4 * k + 1)) + 1) * (2 * k - 1)).alias("source"),
+                F.get("v", F.lit(4 * k + 2)).alias("mv_x"),
+                F.get("v", F.lit(4 * k + 3)).alias("mv_y"),
+            )
+            for k in (0, 1)
+        )
+    )
+    rows = found.withColumn("row", F.explode(F.filter(lists, lambda r: r["used"] == 1)))
+    return rows.select(
+        "frame",
+        F.struct("by_", "bx", "row.list").alias("seq"),
+        "row.source",
+        (F.col("bx") * min_block + F.floor(width / 2)).cast("int").alias("cx"),
+        (F.col("by_") * min_block + F.floor(height / 2)).cast("int").alias("cy"),
+        *("row.mv_x", "row.mv_y"),
+    )

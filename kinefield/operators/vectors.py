@@ -26,12 +26,10 @@ def export(blocks: DataFrame, codec: str) -> DataFrame:
     return blocks.withColumns({k: v.cast("int") for k, v in ends.items()})
 
 
-def zero_size(exact: bool = True) -> Column:
+def zero_size() -> Column:
     """Both end points equal; NaN equals nothing."""
     same = (F.col("src_x") == F.col("dst_x")) & (F.col("src_y") == F.col("dst_y"))
-    if exact:
-        return same
-    return same & ~F.isnan("src_x") & ~F.isnan("src_y")
+    return same & ~F.isnan(F.col("src_x").cast("double")) & ~F.isnan(F.col("src_y").cast("double"))
 
 
 def drop_zero(rows: DataFrame) -> DataFrame:
@@ -43,7 +41,8 @@ def list0_only(rows: DataFrame) -> DataFrame:
 
 
 def squared_length() -> Column:
-    dx, dy = F.col("dst_x") - F.col("src_x"), F.col("dst_y") - F.col("src_y")
+    """In doubles, so long vectors don't overflow."""
+    dx, dy = (F.col(f"dst_{a}").cast("double") - F.col(f"src_{a}").cast("double") for a in "xy")
     return dx * dx + dy * dy
 
 
@@ -86,7 +85,7 @@ def reduce_vectors(rows: DataFrame, k: int, picture: tuple[str, ...] = ("frame",
     earlier row comes first.
     """
     length = squared_length()
-    rows = rows.filter((length > 4) & ~F.isnan(length.cast("double")))
+    rows = rows.filter((length > 4) & ~F.isnan(length))
     per = Window.partitionBy(*picture)
     ranked = rows.withColumns(
         {
@@ -98,6 +97,23 @@ def reduce_vectors(rows: DataFrame, k: int, picture: tuple[str, ...] = ("frame",
     return ranked.withColumn("place", F.when(F.col("_n") <= k, F.col("_seat")).otherwise(F.col("_rank"))).drop("_n", "_rank", "_seat")
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """Rows of all pictures in the order of pictures, then of their blocks."""
+    return rows.orderBy("video", "frame", "seq")
+
+
+def summary(pictures: DataFrame, rows: DataFrame, printed: bool = True) -> DataFrame:
+    """One row (frames, mvs); vectors count only where they are ``printed``."""
+    frames = pictures.agg(F.count("*").alias("n"), F.lit("frames").alias("what"))
+    found = frames.unionByName((rows if printed else rows.limit(0)).agg(F.count("*").alias("n"), F.lit("mvs").alias("what")))
+    return found.agg(*(F.coalesce(F.sum(F.when(F.col("what") == w, F.col("n"))), F.lit(0)).alias(w) for w in ("frames", "mvs")))
+
+
+def sized(rows: DataFrame) -> DataFrame:
+    """Wide rows whose block has a width and a height; others are no vectors."""
+    return rows.filter((F.col("w") != 0) & (F.col("h") != 0))
+
+
 def compact(rows: DataFrame) -> DataFrame:
     """The compact layout: end points narrowed to 16 bits, wrapping."""
     return rows.select("frame", "source", *(wrap_i16(F.col(c)).alias(c) for c in ("src_x", "src_y", "dst_x", "dst_y")))

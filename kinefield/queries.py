@@ -386,14 +386,21 @@ def _pocs(spark, sf_dir) -> DataFrame:
 @query(
     _POCS
     + """, r as (select video, frame, poc, row_number() over (partition by video order by seq) - 1 as no from p where is_ref),
-w as (select video, frame, poc, coalesce(sum(is_ref::int) over (partition by video order by seq rows between unbounded preceding and 1 preceding), 0) as seen from p)
-select video, frame, poc, col_frame, col_poc from (
-  select w.video, w.frame, w.poc, r.frame as col_frame, r.poc as col_poc,
-    row_number() over (partition by w.video, w.frame order by r.poc < w.poc, abs(r.poc - w.poc), r.no desc) as k
-  from w join r on r.video = w.video and r.no < w.seen and r.no >= w.seen - 16 and r.poc <> w.poc) where k = 1"""
+w as (select video, seq, frame, poc, coalesce(sum(is_ref::int) over (partition by video order by seq rows between unbounded preceding and 1 preceding), 0) as seen from p),
+s as (
+  select w.video, w.frame, w.poc, 1 + w.seq % 3 as n0, 1 + w.seq % 2 as n1,
+    coalesce(list([r.poc, r.frame] order by abs(r.poc - w.poc), r.no desc) filter (r.poc < w.poc), []) as before,
+    coalesce(list([r.poc, r.frame] order by abs(r.poc - w.poc), r.no desc) filter (r.poc > w.poc), []) as later
+  from w join r on r.video = w.video and r.no < w.seen and r.no >= w.seen - 16 and r.poc <> w.poc group by all),
+l as (
+  select *, list_transform(range(n0), lambda i: (before || later)[1 + i % len(before || later)]) as l0,
+    list_transform(range(n1), lambda i: (later || before)[1 + i % len(later || before)]) as l1 from s),
+h as (select *, case when len(l1) > 1 and l0 = l1 then l1[2] else l1[1] end as head from l)
+select video, frame, poc, head[2] as col_frame, cast(head[1] as int) as col_poc from h"""
 )
 def mv_colocated(spark, sf_dir) -> DataFrame:
-    return P.collocated(_pocs(spark, sf_dir))
+    """List 1's head; the SQL builds and compares both lists."""
+    return P.collocated(_pocs(spark, sf_dir), n0=1 + F.col("seq") % 3, n1=1 + F.col("seq") % 2)
 
 
 @query(
@@ -534,29 +541,35 @@ def _streams(spark, sf_dir) -> DataFrame:
     return docs.withColumn("data", F.concat(start, F.col("raw"), unit, F.col("raw")))
 
 
-@query()
+@query(
+    """with d as (select doc_id, coalesce(text, '') as t from documents where text is not null)
+select doc_id, cast(u as int) as unit, cast(case u when 0 then 7 else 1 end as int) as nal_type, t as payload from d, range(2) r(u)"""
+)
 def b_annexb(spark, sf_dir) -> DataFrame:
+    """Texts hold no zero bytes, so each is a unit as it is."""
     rows = nal.units(_streams(spark, sf_dir).select("doc_id", "data"))
-    return rows.select("doc_id", "unit", "nal_type", F.crc32("payload").alias("crc"))
+    return rows.select("doc_id", "unit", "nal_type", F.col("payload").cast("string").alias("payload"))
 
 
-@query()
+@query("select doc_id, 0 as unit, 1 as nal_type, text as payload from documents where text is not null")
 def b_avcc(spark, sf_dir) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.lit(bytes([0x41])), F.col("text").cast("binary")).alias("u"))
     sized = docs.select("doc_id", F.concat(F.unhex(F.lpad(F.hex(F.octet_length("u")), 8, "0")), F.col("u")).alias("data"))
-    return nal.units(sized, length_size=4).select("doc_id", "unit", "nal_type", F.crc32("payload").alias("crc"))
+    return nal.units(sized, length_size=4).select("doc_id", "unit", "nal_type", F.col("payload").cast("string").alias("payload"))
 
 
-@query()
+@query("select doc_id, cast(2 * octet_length(encode(text)) + 12 as int) as size from documents where text is not null")
 def b_ebsp(spark, sf_dir) -> DataFrame:
-    rows = _streams(spark, sf_dir)
+    """Two texts, nine bytes of start codes and headers, and 0 0 3 1 less its emulation byte."""
+    rows = _streams(spark, sf_dir).filter("raw is not null")
     return rows.select("doc_id", F.octet_length(nal.rbsp(F.concat("data", F.lit(bytes([0, 0, 3, 1]))))).alias("size"))
 
 
 @query()
 def b_se_stream(spark, sf_dir) -> DataFrame:
+    """Whole texts read as streams of signed codes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    codes = nal.signed_codes(F.sha1(F.coalesce("text", F.lit("")).cast("binary")).cast("binary"))
+    codes = nal.signed_codes(F.coalesce("text", F.lit("")).cast("binary"))
     return docs.select("doc_id", codes.alias("codes")).select("doc_id", F.size("codes").alias("n"), F.array_max("codes").alias("most"))
 
 

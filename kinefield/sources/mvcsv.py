@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinefield.functions.exprs import format_flags, parse_double, parse_flags, saturated_int
+from kinefield.functions.exprs import format_flags, parse_double, parse_flags, saturated_int, short_text
 
 REQUIRED = ("frame", "src_x", "src_y")
 FULL = ("frame", "source", "w", "h", "src_x", "src_y", "dst_x", "dst_y", "flags", "motion_x", "motion_y", "motion_scale")
@@ -67,17 +67,21 @@ def parse_lines(lines: DataFrame, header: str, column: str = "value") -> DataFra
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A file or folder of files, each with a header of the same columns."""
+    """A file or folder of files, each with a header of the same columns.
+
+    ``seq`` orders the rows: by file, part of the file and place in it.
+    """
     rows = spark.read.csv(path, header=True, quote="", escape="", inferSchema=False)
     if not rows.columns:
         raise ValueError(f"{path}: no header")
-    return typed(rows)
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    return typed(rows.select("*", place.alias("seq")))
 
 
 def _float(x: Column) -> Column:
-    """The shortest text that reads back as the same double, with .0 for whole numbers."""
-    whole = (x == F.floor(x)) & (F.abs(x) < 1e16)
-    return F.when(whole, F.concat(x.cast("long").cast("string"), F.lit(".0"))).otherwise(x.cast("string"))
+    """The text of a double that reads back as the same, with .0 for whole numbers."""
+    whole = (x == F.floor(x)) & (F.abs(x) < 1e16) & (x != 0)
+    return F.when(whole, F.concat(x.cast("long").cast("string"), F.lit(".0"))).otherwise(short_text(x))
 
 
 def wide_text(rows: DataFrame) -> DataFrame:

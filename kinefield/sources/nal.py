@@ -14,16 +14,13 @@ from pyspark.sql import types as T
 
 def rbsp_bytes(data: bytes) -> bytes:
     """Payload without emulation bytes: a 3 after two zeros and before a byte up to 3."""
-    out, at, zeros = bytearray(), 0, 0
-    if b"\x00\x00\x03" not in data:
-        return data
-    for at, b in enumerate(data):
-        if zeros >= 2 and b == 3 and at + 1 < len(data) and data[at + 1] <= 3:
-            zeros = 0
-            continue
-        out.append(b)
-        zeros = zeros + 1 if b == 0 else 0
-    return bytes(out)
+    out, begin, at = [], 0, data.find(b"\x00\x00\x03")
+    while at >= 0:
+        if at + 3 < len(data) and data[at + 3] <= 3:
+            out.append(data[begin : at + 2])
+            begin = at + 3
+        at = data.find(b"\x00\x00\x03", at + 3)
+    return b"".join([*out, data[begin:]]) if out else data
 
 
 def split_annexb(data: bytes) -> Iterator[bytes]:
@@ -50,11 +47,15 @@ def split_lengths(data: bytes, size: int) -> Iterator[bytes]:
 
 
 class BitReader:
-    """Bits from the highest of each byte; zeros beyond the end."""
+    """Bits from the highest of each byte; zeros beyond the end.
+
+    Each read looks at the few bytes that it needs, so a payload takes linear time.
+    """
 
     def __init__(self, data: bytes):
-        self.bits, self.size, self.pos = int.from_bytes(data, "big"), 8 * len(data), 0
-        self.stop = self.size - 1 - ((self.bits & -self.bits).bit_length() - 1) if self.bits else 0
+        self.data, self.size, self.pos = data, 8 * len(data), 0
+        ended = data.rstrip(b"\x00")
+        self.stop = 8 * len(ended) - (ended[-1] & -ended[-1]).bit_length() if ended else 0
 
     def read(self, n: int) -> int:
         value = self.peek(n)
@@ -62,16 +63,17 @@ class BitReader:
         return value
 
     def peek(self, n: int) -> int:
-        end = self.pos + n
-        whole = self.bits >> (self.size - end) if end <= self.size else self.bits << (end - self.size)
-        return whole & ((1 << n) - 1)
+        first, end = self.pos >> 3, self.pos + n
+        last = (end + 7) >> 3
+        held = int.from_bytes(self.data[first:last], "big") << 8 * max(0, last - max(first, len(self.data)))
+        return (held >> (8 * last - end)) & ((1 << n) - 1)
 
     def ue(self) -> int:
-        zeros = 0
-        while zeros <= 31 and self.pos < self.size and not self.read(1):
-            zeros += 1
-        if zeros > 31 or self.pos > self.size:
+        zeros = 32 - self.peek(32).bit_length()
+        if zeros > 31 or self.pos + zeros >= self.size:
+            self.pos = min(self.pos + zeros, self.size)
             return 0
+        self.pos += zeros + 1
         return (1 << zeros) - 1 + (self.read(zeros) if zeros else 0)
 
     def se(self) -> int:
