@@ -6,6 +6,7 @@ names, so any executor can read them again after another one is lost.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+_LIBC = ctypes.CDLL(None)
 #: Text bytes that a numpy pass works on at once; a longer text is a chunk alone.
 CHUNK_BYTES = 1 << 19
 #: Rows that a numpy pass takes at most, and rows of an Arrow batch: long texts make
@@ -75,6 +77,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Give the memory that numpy and Arrow have freed back to the system.
+
+    Workers are used again by other stages, and what they keep counts against the executor.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, with freed memory given back after each."""
+    for batch in batches:
+        yield batch
+        del batch
+        release()
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
     """mapInArrow with batches cut to BATCH_ROWS rows.
 
@@ -88,7 +109,7 @@ def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(struct)
-        for batch in batches:
+        for batch in released(batches):
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 for got in fn(batch.slice(at, BATCH_ROWS)):
                     if isinstance(got, dict):

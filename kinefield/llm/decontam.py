@@ -332,7 +332,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **options) ->
 
     def one_pass(df: DataFrame, scanner: Scanner) -> DataFrame:
         def run(batches):
-            for batch in batches:
+            for batch in common.released(batches):
                 for k in range(0, batch.num_rows, common.BATCH_ROWS):
                     part = batch.slice(k, common.BATCH_ROWS)
                     gone = [bool(x) for x in _judge(scanner, part.column("text"))]

@@ -223,7 +223,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         done = False
-        for batch in batches:
+        for batch in common.released(batches):
             for doc, text, guest in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "guest")), strict=True):
                 if done or (guest and held is None):
                     continue

@@ -248,7 +248,7 @@ def _pieces(texts: list[str]):
 def keep_identified(documents: DataFrame, model: Model | None) -> DataFrame:
     """The documents, with their own columns, that aren't rejected."""
     def run(batches):
-        for batch in batches:
+        for batch in common.released(batches):
             for k in range(0, batch.num_rows, common.BATCH_ROWS):
                 part = batch.slice(k, common.BATCH_ROWS)
                 texts = [t or "" for t in part.column("text").to_pylist()]

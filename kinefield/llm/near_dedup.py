@@ -8,9 +8,10 @@ never all pairs of a bucket. Offered edges are confirmed on the full sets.
 Links are sought in rounds. The first centre of a bucket is its smallest id. Later
 rounds take only buckets that still hold several components, and offer only edges
 between components: first to the member with most confirmed links, then to several
-centres by a hash that differs each round. The late rounds end when one joins nothing.
-What stars can't tell is then told exactly: the texts of buckets of three or more that
-still hold several components are joined on the rarest of their shingles (prefix and
+centres, which are all members of a bucket with no more than so many and else drawn by a
+hash that differs each round. The late rounds end when one joins nothing. What stars can't
+tell is then told exactly: the texts of larger buckets that still hold several components
+are joined on the rarest of their shingles (prefix and
 position filter), which offers every pair that may be a link between components.
 
 Defined results: null or blank text has an empty set, is linked with nothing and
@@ -180,7 +181,7 @@ def _may_link(star: Column, percent: int, far: int) -> Column:
 
 
 def _rest(members: DataFrame, labels: DataFrame | None, sets: DataFrame, percent: int, scratch: common.Scratch) -> DataFrame:
-    """Pairs (a, b) that may be links between components that share a bucket.
+    """Pairs (a, b) that may be links between components that share a bucket of ``members``.
 
     Shingles are ordered by how many of these texts have them, rarest first. The first one
     that a linked pair shares leaves as many behind it, in either set, as the pair must
@@ -189,9 +190,8 @@ def _rest(members: DataFrame, labels: DataFrame | None, sets: DataFrame, percent
     pool = members.select("key", "id", "n").withColumn("label", F.col("id"))
     if labels is not None:
         pool = members.select("key", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    # The first round's star holds all pairs of a bucket of two.
-    buckets = pool.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("_size"))
-    buckets = scratch.table(buckets.filter("_low < _high and _size > 2").select("key"), "open")
+    buckets = pool.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
+    buckets = scratch.table(buckets.filter("_low < _high").select("key"), "open")
     texts = scratch.table(pool.join(buckets, "key").select("id", "n", "label").distinct(), "open-texts")
     grams = scratch.table(texts.join(sets, "id").select("id", "n", "label", F.explode("shingles").alias("g")), "open-grams")
     # A shingle that one component alone has comes first, too, but meets nothing.
@@ -258,9 +258,9 @@ def near_duplicates(
         "classes",
     )
     members = classes.select("id", "n", F.explode("bands").alias("key"))
-    crowded = members.groupBy("key").agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
+    crowded = members.groupBy("key").agg(F.min("id").alias("_low"), F.max("id").alias("_high"), F.count("*").alias("size"))
     # Written apart, so that a join with it can split the rows of a common key.
-    crowded = scratch.table(crowded.filter("_low < _high").select("key"), "crowded")
+    crowded = scratch.table(crowded.filter("_low < _high").select("key", "size"), "crowded")
     # Only buckets with two texts at least; all later rounds read this table.
     members = scratch.table(members.join(crowded, "key").join(classes.select("id", "bits"), "id"), "members")
     ids = scratch.table(members.select("id").distinct(), "ids")
@@ -272,6 +272,8 @@ def near_duplicates(
         pool = members.withColumn("label", F.col("id"))
         if labels is not None:
             pool = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        if turn > 2:
+            pool = pool.filter(F.col("size") > centres)
         if turn == 0:
             orders = [F.lit(0)]
         elif turn == 1:
@@ -279,16 +281,18 @@ def near_duplicates(
             orders = [-F.coalesce("degree", F.lit(0))]
         else:
             orders = [F.xxhash64("id", F.lit(100 * turn + k)) for k in range(centres)]
-        stars = (
-            pool.groupBy("key")
-            .agg(
-                F.min("label").alias("_low"),
-                F.max("label").alias("_high"),
-                *(F.min(F.struct(o.alias("o"), "id", "n", "label", "bits")).alias(f"c{k}") for k, o in enumerate(orders)),
-            )
-            .filter("_low < _high")
-            .select("key", F.array(*(f"c{k}" for k in range(len(orders)))).alias("stars"))
-        )
+        picked = [F.min("label").alias("_low"), F.max("label").alias("_high")]
+        for k, o in enumerate(orders):
+            picked.append(F.min(F.struct(o.cast("long").alias("o"), "id", "n", "label", "bits")).alias(f"c{k}"))
+        listed = F.array(*(f"c{k}" for k in range(len(orders)))).alias("stars")
+        stars = pool.groupBy("key").agg(*picked).filter("_low < _high").select("key", listed)
+        if turn == 2:
+            # All members of a small bucket are centres, so no later round has to see it.
+            few = pool.filter(F.col("size") <= centres).groupBy("key")
+            every = F.collect_list(F.struct(F.lit(0).cast("long").alias("o"), "id", "n", "label", "bits")).alias("stars")
+            few = few.agg(F.min("label").alias("_low"), F.max("label").alias("_high"), every).filter("_low < _high")
+            large = pool.filter(F.col("size") > centres).groupBy("key").agg(*picked).filter("_low < _high")
+            stars = few.select("key", "stars").unionByName(large.select("key", listed))
         stars = scratch.table(stars, f"stars-{turn}")
         # Sizes or sketches that no pair at the least similarity has need no full sets.
         offered = (
@@ -310,7 +314,9 @@ def near_duplicates(
                 break
             continue
         labels = joined(labels, found, scratch, f"labels-{turn}")
-    offered = _rest(members, labels, sets, percent, scratch).join(tried, ["a", "b"], "left_anti")
+    # A star holds all pairs of a bucket of two, and all were centres in small buckets.
+    left = members.filter(F.col("size") > (centres if rounds > 0 else 2))
+    offered = _rest(left, labels, sets, percent, scratch).join(tried, ["a", "b"], "left_anti")
     found = scratch.table(confirmed(scratch.table(offered, "offered-rest"), sets, percent), "found-rest")
     if not found.isEmpty():
         labels = joined(labels, found, scratch, "labels-rest")

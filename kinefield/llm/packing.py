@@ -154,7 +154,7 @@ def pack(documents: DataFrame, vocabulary: str, window: int = 1024, end_id: int
                     names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
                 )
 
-        for batch in batches:
+        for batch in common.released(batches):
             for k in range(0, batch.num_rows, common.BATCH_ROWS):
                 part = batch.slice(k, common.BATCH_ROWS)
                 texts = [t or "" for t in part.column("text").to_pylist()]

@@ -258,7 +258,7 @@ def remove_repeats(
     joined = plain.join(F.broadcast(spans) if size <= broadcast_spans else spans, on, "left").drop(doc, row)
 
     def run(batches):
-        for batch in batches:
+        for batch in common.released(batches):
             for k in range(0, batch.num_rows, common.BATCH_ROWS):
                 part = batch.slice(k, common.BATCH_ROWS)
                 texts, gone = part.column("text").to_pylist(), []

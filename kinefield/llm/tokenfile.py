@@ -230,7 +230,7 @@ def write_shards(
         from kinefield.llm.tokens import encoder
 
         part, number, writer = TaskContext.get().partitionId(), 0, None
-        for batch in batches:
+        for batch in common.released(batches):
             for k in range(0, batch.num_rows, common.BATCH_ROWS):
                 rows = batch.slice(k, common.BATCH_ROWS)
                 coder = encoder(vocabulary)
@@ -277,7 +277,7 @@ def read_shards(manifest: DataFrame, task_ids: int = 1 << 23) -> DataFrame:
         before += r["ids"]
 
     def run(batches):
-        for batch in batches:
+        for batch in common.released(batches):
             for path, base in zip(*(batch.column(c).to_pylist() for c in ("path", "base")), strict=True):
                 shard = Shard(path)
                 valid, keys = shard.part("valid").astype(bool), shard.part("keys")
@@ -321,7 +321,7 @@ def lookup(manifest: DataFrame, keys: list[int]) -> DataFrame:
     wanted = [(r["part"], k) for r in bounds for k in sorted(set(keys)) if r["low"] <= k <= r["high"]]
 
     def run(batches):
-        for batch in batches:
+        for batch in common.released(batches):
             for path, key in zip(*(batch.column(c).to_pylist() for c in ("path", "key")), strict=True):
                 shard = Shard(path)
                 row, count = shard.get(key)

@@ -22,7 +22,7 @@ import numpy as np
 from kinefield.llm import common
 
 #: Units kept by one Python worker: the first met.
-KEEP_UNITS = 1 << 20
+KEEP_UNITS = 1 << 19
 #: Characters encoded at once; a longer text is a batch alone.
 BATCH_CHARS = 1 << 19
 

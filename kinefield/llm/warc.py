@@ -134,7 +134,7 @@ def write_archives(
             out.file.close()
             return pa.RecordBatch.from_arrays([pa.array([out.name]), pa.array([count])], names=["path", "records"])
 
-        for batch in batches:
+        for batch in common.released(batches):
             columns = (batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to"))
             for page, url, html, refers in zip(*columns, strict=True):
                 if out is None:
@@ -185,7 +185,7 @@ def normalise(manifest: DataFrame, folder: str, level: int = 4) -> DataFrame:
     """Rewrite each archive of ``manifest``; the new manifest (path, records), lazily."""
 
     def run(batches):
-        for batch in batches:
+        for batch in common.released(batches):
             for path, records in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist(), strict=True):
                 store, at = file_system(path)
                 out, index = _Output(folder), []
@@ -210,7 +210,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, target), by index."""
 
     def run(batches):
-        for batch in batches:
+        for batch in common.released(batches):
             for path in batch.column("path").to_pylist():
                 store, at = file_system(path)
                 with store.open_input_stream(at + ".index") as f:
