@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinefield.operators.pictures import assemble_pictures, display_order, resolve_parameters
-from kinefield.sources import syntax
+from kinefield.operators.vectors import expand, export
+from kinefield.sources import cavlc, syntax
 
 _SLICES = (1, 5)
 
@@ -61,6 +62,26 @@ def h264_slices(units: DataFrame) -> DataFrame:
     )
 
 
+def h264_vectors(slices: DataFrame) -> DataFrame:
+    """Vectors of P slices without CABAC: video, frame, seq, source, w, h, cx, cy, mv_x, mv_y and end points.
+
+    ``seq`` orders a picture's rows; vectors of no length are among them. A slice needs no
+    other one, so slices are dealt over all tasks before they are decoded; I slices, which
+    have no vectors, aren't.
+    """
+    numbered = assemble_pictures(slices.withColumn("first_mb", F.col("head.first_mb")))
+    wanted = numbered.filter(F.col("unsupported").isNull() & (F.col("head.slice_type") == "P") & (F.col("pps.cabac") == 0))
+    found = wanted.select("video", "frame", "seq", "payload", "head", "sps", "pps").repartition("video", "seq")
+    found = found.select("video", "frame", F.col("sps.width_in_mbs").alias("_mbs"), cavlc.motion(*map(F.col, ("payload", "head", "sps", "pps"))).alias("_m"))
+    blocks = found.select("video", "frame", "_mbs", F.explode("_m.blocks").alias("_b")).select("video", "frame", "_mbs", "_b.*")
+    used, none = F.lit(True), F.lit(0)
+    part = lambda v: F.struct(used.alias("l0"), (~used).alias("l1"), v["x"].alias("x0"), v["y"].alias("y0"), none.alias("x1"), none.alias("y1"))
+    place = {"mbx": F.col("mb") % F.col("_mbs"), "mby": F.floor(F.col("mb") / F.col("_mbs")).cast("int")}
+    rows = expand(blocks.withColumns({**place, "parts": F.transform("vectors", part)}).drop("vectors", "_mbs"))
+    rows = rows.withColumn("seq", F.col("mb") * 8 + F.col("turn"))
+    return export(rows.select("video", "frame", "seq", "source", "w", "h", "cx", "cy", "mv_x", "mv_y"), "h264")
+
+
 def h264_pictures(slices: DataFrame) -> DataFrame:
     """One row for each picture, with the fields of its first slice and its slices' counts.
 

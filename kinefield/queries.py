@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinefield.functions import exprs as X
@@ -11,6 +11,7 @@ from kinefield.operators import pictures as P
 from kinefield.operators import prediction as M
 from kinefield.operators import vectors as V
 from kinefield.plans import field
+from kinefield.plans import pictures as plan_pictures
 from kinefield.sources import mvcsv, nal, syntax
 
 _COLS = ["seq", "frame", "source", "src_x", "src_y", "dst_x", "dst_y"]
@@ -605,6 +606,43 @@ def b_h264_headers(spark, sf_dir) -> DataFrame:
     )
 
 
+@query(
+    """with v as (select event_id, cast((event_id * 7919 + user_id * 31) % 129 - 64 as int) as mvx, cast((event_id * 104729 + user_id * 17) % 129 - 64 as int) as mvy from events),
+  m as (select cast(event_id // 4096 as int) as video, cast(event_id // 32 % 128 as int) as frame, cast(event_id % 32 as int) as mb, mvx, mvy from v)
+  select video, frame, mb, mvx, mvy, 8 + cast(mvx // 4 as int) as src_x, 16 * mb + 8 + cast(mvy // 4 as int) as src_y from m"""
+)
+def d_h264_cavlc(spark, sf_dir) -> DataFrame:
+    """The field written as slices of pictures one macroblock wide, decoded and exported.
+
+    There each vector is predicted by the one above it, so what is coded is a difference
+    along the column. The last picture may have fewer macroblocks than its height.
+    """
+    rows = field.blocks(spark, sf_dir).select("seq", "mvx", "mvy").withColumns(
+        {"video": F.floor(F.col("seq") / 4096).cast("int"), "number": F.floor(F.col("seq") / 32).cast("long")}
+    )
+    above = Window.partitionBy("video", "number").orderBy("seq")
+    coded = F.concat(X.ue_bits(F.lit(0)), X.ue_bits(F.lit(0)), *(X.se_bits(F.col(c) - F.coalesce(F.lag(c).over(above), F.lit(0))) for c in ("mvx", "mvy")), X.ue_bits(F.lit(0)))
+    data = F.array_join(F.array_sort(F.collect_list(F.struct("seq", "bits")))["bits"], "")
+    # No macroblock is skipped; 0 is the whole shape, and 0 the pattern without residuals.
+    no, head = F.lit("0"), F.concat(X.ue_bits(F.lit(0)), X.ue_bits(F.lit(5)), X.ue_bits(F.lit(0)), F.lit("0001"), F.lit("0000"), F.lit("00"), F.lit("0"), X.se_bits(F.lit(0)))
+    slices = rows.withColumn("bits", coded).groupBy("video", "number").agg(data.alias("bits"))
+    slices = slices.select("video", (F.col("number") % 128 + 2).cast("int").alias("nal_no"), F.lit(1).alias("nal_type"), X.packed(F.concat(head, "bits")).alias("payload"))
+    sps = F.concat(F.lit("01000010" + "0" * 16), *(X.ue_bits(F.lit(n)) for n in (0, 0, 0, 0, 1)), no, X.ue_bits(F.lit(0)), X.ue_bits(F.lit(31)), F.lit("11"))
+    pps = F.concat(X.ue_bits(F.lit(0)), X.ue_bits(F.lit(0)), F.lit("00"), *(X.ue_bits(F.lit(0)) for _ in range(3)), F.lit("000"), *(X.se_bits(F.lit(0)) for _ in range(3)), F.lit("000"))
+    sets = F.inline(F.array(*(F.struct(F.lit(k).alias("nal_no"), F.lit(7 + k).alias("nal_type"), X.packed(bits).alias("payload")) for k, bits in enumerate((sps, pps)))))
+    units = slices.unionByName(rows.select("video").distinct().select("video", sets))
+    units = units.select(F.col("video").cast("string").alias("path"), F.lit("h264").alias("codec"), F.lit(0).alias("packet"), "nal_no", "nal_type", F.lit(2).alias("ref_idc"), "payload")
+    found = plan_pictures.h264_vectors(plan_pictures.h264_slices(units))
+    return found.select(
+        F.col("video").cast("int").alias("video"),
+        "frame",
+        F.floor(F.col("seq") / 8).cast("int").alias("mb"),
+        *(F.col(a).alias(b) for a, b in (("mv_x", "mvx"), ("mv_y", "mvy"))),
+        "src_x",
+        "src_y",
+    )
+
+
 @query(
     _BASE
     + """select video, count(*)::bigint as blocks, count(distinct frame)::bigint as pictures, sum((source = -1)::int)::bigint as list0, sum((source = 1)::int)::bigint as list1,
