@@ -239,7 +239,7 @@ def _merged(spans: list, raw: bytes) -> list[dict]:
 
 
 def remove_repeats(
-    documents: DataFrame, unit: str = "sentence", min_words: int = 30, broadcast_spans: int = 20_000
+    documents: DataFrame, unit: str = "sentence", min_words: int = 10, broadcast_spans: int = 20_000
 ) -> DataFrame:
     """The documents, with their own columns, less repeated passages in ``text``.
 

@@ -443,6 +443,40 @@ def test_units_by_brute_force(spark, seed, unit):
     assert sorted(map(repr, ((r.doc_id, r.text) for r in got))) == sorted(repr((d, want[d, t])) for d, t in rows)
 
 
+@settings(max_examples=6, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([1, 6, 10]))
+def test_runs_by_brute_force(spark, seed, least):
+    """Texts of one line that begins with a sentence of their own; runs of later sentences go."""
+    rng = random.Random(seed)
+    pool = [" ".join(f"w{k}{j}" for j in range(rng.randrange(1, 9))) + "." for k in range(6)]
+    texts = {k: [f"Own{k}.", *(rng.choice([*pool, f"n{k}x{j} b."]) for j in range(rng.randrange(9)))] for k in range(7)}
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.text.split() for r in substring.remove_repeats(df, min_words=least).collect()}
+    seen = set()
+    for k, parts in texts.items():
+        kept, run = [], []
+        for part in [*parts, None]:
+            if part in seen:
+                run.append(part)
+                continue
+            if sum(len(p.split()) for p in run) < least:
+                kept += run
+            run = []
+            if part is not None:
+                kept.append(part)
+                seen.add(part)
+        assert got[k] == " ".join(kept).split()
+
+
+def test_passage_cut_within_sentences(spark):
+    """Of a passage of over 50 words whose ends stand within other sentences, the inner sentence goes."""
+    ends, inner = [" ".join(f"{c}{k}" for k in range(20)) for c in "ab"], " ".join(f"i{k}" for k in range(12)) + "."
+    passage = f"{ends[0]}. {inner} {ends[1]}"
+    df = spark.createDataFrame([(1, f"One {passage} one."), (2, f"Two {passage} two.")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in substring.remove_repeats(df).collect()}
+    assert got == {1: f"One {passage} one.", 2: f"Two {ends[0]}. {ends[1]} two."}
+
+
 def test_clashing_names(spark):
     df = spark.createDataFrame(ODD, DOCS)
     for name in ("gone", "_gone", "doc", "row", "cut", "removed", "x", "y", "low", "line", "member", "hub", "key", "component_id"):
