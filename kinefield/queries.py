@@ -643,6 +643,45 @@ def d_h264_cavlc(spark, sf_dir) -> DataFrame:
     )
 
 
+@query(
+    """with f as (select event_id as e, user_id as u, (1 + event_id % 30) * (1 + user_id % 17) as ctbs, event_id % 3 as kind, event_id % 4 = 0 as first from events)
+select e as seq, cast(u % 16 as int) as sps_id, cast(64 * (1 + e % 30) as int) as width, cast(64 * (1 + u % 17) as int) as height, cast(4 + e % 5 as int) as log2_max_poc_lsb,
+  cast(case when first then 1 else 0 end as int) as first_in_picture, cast(case when first then 0 else e % ctbs end as int) as address, ['B', 'P', 'I'][1 + kind] as slice_type,
+  cast(u % 16 as int) as poc_lsb, cast(-1 - e % 3 as int) as nearest, cast(case when kind < 2 then 1 + u % 4 else 0 end as int) as refs_l0, cast(case when kind = 0 then 1 + u % 3 else 0 end as int) as refs_l1,
+  cast(case when kind < 2 then 5 - e % 5 else 5 end as int) as max_merge, cast(26 + e % 21 - 10 + u % 11 - 5 as int) as slice_qp, true as at_data
+from f"""
+)
+def b_hevc_headers(spark, sf_dir) -> DataFrame:
+    """HEVC parameter sets and a slice header written as bits for each event, and read."""
+    rows = field.events(spark, sf_dir).select(F.col("event_id").alias("e"), F.col("user_id").alias("u"))
+    e, u, ue, se, bit = F.col("e"), F.col("u"), X.ue_bits, X.se_bits, F.lit
+    no, inter, both, first = bit(""), e % 3 < 2, e % 3 == 0, e % 4 == 0
+    number = lambda *ns: [ue(F.lit(n)) for n in ns]
+    sps = F.concat(
+        *(bit("00000001" + "00000001" + "0" * 88), ue(u % 16), *number(1), ue(64 * (1 + e % 30)), ue(64 * (1 + u % 17)), bit("0"), *number(0, 0), ue(e % 5)),
+        *(bit("1"), *number(4, 0, 0, 0, 3, 0, 3, 0, 0), bit("00"), X.fixed_bits(e % 2, 1), bit("0"), *number(1, 1, 0), ue(e % 3), bit("1"), bit("01")),
+    )
+    pps = F.concat(ue(u % 8), ue(u % 16), bit("0000000"), ue(e % 2), *number(0), se(e % 21 - 10), bit("000"), *number(0, 0), bit("0" * 9), bit("0"), *number(0), bit("0"))
+    ctbs = (1 + e % 30) * (1 + u % 17)
+    place = X.fixed_bits(e % ctbs, X.ceil_log2(ctbs.cast("int")).cast("int"))
+    refs = F.concat(bit("1"), ue(u % 4), F.when(both, F.concat(ue(u % 3), bit("1"))).otherwise(no))
+    motion = F.when(e % 2 == 1, F.concat(F.when(both, bit("1")).otherwise(no), F.when(u % 4 > 0, ue(F.lit(0))).otherwise(no))).otherwise(no)
+    head = F.concat(
+        *(F.when(first, bit("1")).otherwise(bit("0")), ue(u % 8), F.when(first, no).otherwise(place), ue(e % 3)),
+        *(X.fixed_bits(u % 16, (e % 5 + 4).cast("int")), bit("1"), X.fixed_bits(e % 2, 1), F.when(e % 2 == 1, bit("10")).otherwise(no)),
+        *(F.when(inter, F.concat(refs, motion, ue(e % 5))).otherwise(no), se(u % 11 - 5)),
+    )
+    coded = rows.select(e.alias("seq"), (F.floor(F.length(head) / 8) + 1).alias("begin"), X.packed(sps).alias("sps"), X.packed(pps).alias("pps"), X.packed(head).alias("slice"))
+    sets = coded.select("seq", "begin", "slice", syntax.hevc_sps(F.col("sps")).alias("sps"), syntax.hevc_pps(F.col("pps")).alias("pps"))
+    read = sets.select("seq", "begin", "sps", syntax.hevc_slice(F.col("slice"), F.lit(1), F.col("sps"), F.col("pps")).alias("head"))
+    return read.select(
+        *("seq", "sps.sps_id", "sps.width", "sps.height", "sps.log2_max_poc_lsb", "head.first_in_picture", "head.address", "head.slice_type", "head.poc_lsb"),
+        F.get("head.delta", F.lit(0)).alias("nearest"),
+        *("head.refs_l0", "head.refs_l1", "head.max_merge", "head.slice_qp"),
+        (F.col("head.data_byte") == F.col("begin")).alias("at_data"),
+    )
+
+
 @query(
     _BASE
     + """select video, count(*)::bigint as blocks, count(distinct frame)::bigint as pictures, sum((source = -1)::int)::bigint as list0, sum((source = 1)::int)::bigint as list1,

@@ -353,21 +353,157 @@ HEVC_PPS = [
     ("header_extension", "f"),
 ]
 
+#: Most candidates of a merge, IDR types, and the first and last type of random access.
+MOST_MERGED, HEVC_IDR, HEVC_ACCESS = 5, (19, 20), (16, 23)
+
+
+def _count_bits(n: int) -> int:
+    """Bits that tell n things apart."""
+    return max(n - 1, 0).bit_length()
+
+
+def _ctbs(f: Fields) -> int:
+    return (-(-f["width"] >> f["log2_ctb"])) * (-(-f["height"] >> f["log2_ctb"]))
+
+
+def _slice_set(reader: BitReader, f: Fields) -> dict:
+    sets = f["short_term_sets"]
+    if not reader.read(1):
+        return short_term_set(reader, sets, len(sets), in_slice=True)
+    index = reader.read(_count_bits(len(sets)))
+    return sets[index] if index < len(sets) else {"delta": [], "used": []}
+
+
+def _long_term(reader: BitReader, f: Fields) -> int:
+    """How many long-term pictures the slice may use; those of the parameter set all count."""
+    known = reader.ue() if f["num_long_term"] else 0
+    own, used = reader.ue(), 0
+    for k in range(min(known + own, MOST)):
+        if k < known:
+            reader.read(_count_bits(f["num_long_term"]))
+            used += 1
+        else:
+            reader.read(f["log2_max_poc_lsb"])
+            used += reader.read(1)
+        if reader.read(1):
+            reader.ue()
+    return used
+
+
+def _list_entries(reader: BitReader, f: Fields) -> None:
+    bits = _count_bits(_usable(f))
+    for n in (f["refs_l0"], *([f["refs_l1"]] if _b(f) else [])):
+        if reader.read(1):
+            reader.read(bits * min(n, 16))
+
+
+def _usable(f: Fields) -> int:
+    return (sum(map(bool, f["_set"]["used"])) if f["_set"] else 0) + f["_long_used"]
+
+
+def _hevc_weights(reader: BitReader, f: Fields) -> None:
+    chroma = f["chroma_format_idc"] != 0 and not f["separate_colour_plane"]
+    reader.ue()
+    if chroma:
+        reader.se()
+    for n in (f["refs_l0"], *([f["refs_l1"]] if _b(f) else [])):
+        n = min(n, 16)
+        luma = [reader.read(1) for _ in range(n)]
+        colour = [reader.read(1) for _ in range(n)] if chroma else [0] * n
+        for a, b in zip(luma, colour):
+            for _ in range(2 * a + 4 * b):
+                reader.se()
+
+
+def _entries(reader: BitReader, f: Fields) -> None:
+    if n := reader.ue():
+        size = reader.ue() + 1
+        for _ in range(n):
+            if reader.pos >= reader.size:
+                break
+            reader.read(size)
+
+
+def _whole(f: Fields) -> bool:
+    return not f["dependent"]
+
+
+def _hevc_inter(f: Fields) -> bool:
+    return f["slice_type"] in ("P", "B")
+
+
+def _not_idr(f: Fields) -> bool:
+    return _whole(f) and f["nal_type"] not in HEVC_IDR
+
+
+def _overrides(f: Fields) -> bool:
+    return bool(f["_override_deblocking"])
+
+
+def _several(f: Fields) -> bool:
+    return bool(f["tiles"] or f["wavefront"])
+
+
+#: Read with the fields of both parameter sets and ``nal_type``.
+HEVC_SLICE = [
+    ("first_in_picture", "f"),
+    ("_no_output", "f", lambda f: HEVC_ACCESS[0] <= f["nal_type"] <= HEVC_ACCESS[1]),
+    ("_pps", "ue"),
+    ("dependent", "f", lambda f: not f["first_in_picture"] and f["dependent_slices"]),
+    ("address", lambda r, f: r.read(_count_bits(_ctbs(f))), lambda f: not f["first_in_picture"]),
+    ("_extra", lambda r, f: r.read(f["extra_header_bits"]), _whole),
+    ("slice_type", lambda r, f: (HEVC_TYPES[c] if (c := r.ue()) < 3 else "I") if _whole(f) else None),
+    ("_output", "f", lambda f: _whole(f) and f["output_flag_present"]),
+    ("_plane", "u2", lambda f: _whole(f) and f["separate_colour_plane"]),
+    ("poc_lsb", lambda r, f: r.read(f["log2_max_poc_lsb"]), _not_idr),
+    ("_set", _slice_set, _not_idr),
+    ("delta", lambda r, f: [int(d) for d in f["_set"]["delta"]] if f["_set"] else []),
+    ("used", lambda r, f: [bool(u) for u in f["_set"]["used"]] if f["_set"] else []),
+    ("_long_used", _long_term, lambda f: _not_idr(f) and f["long_term"]),
+    ("uses_temporal_mvp", "f", lambda f: _not_idr(f) and f["temporal_mvp"]),
+    ("sao_luma", "f", lambda f: _whole(f) and f["sao"]),
+    ("sao_chroma", "f", lambda f: _whole(f) and f["sao"] and f["chroma_format_idc"] and not f["separate_colour_plane"]),
+    ("_override", "f", _hevc_inter),
+    ("refs_l0", lambda r, f: r.ue() + 1 if f["_override"] else f["num_ref_l0"], _hevc_inter),
+    ("refs_l1", lambda r, f: r.ue() + 1 if f["_override"] else f["num_ref_l1"], _b),
+    ("_entries_of_lists", _list_entries, lambda f: _hevc_inter(f) and f["lists_modification"] and _usable(f) > 1),
+    ("mvd_l1_zero", "f", _b),
+    ("cabac_init", "f", lambda f: _hevc_inter(f) and f["cabac_init_present"]),
+    ("collocated_list", lambda r, f: 1 - r.read(1), lambda f: _b(f) and f["uses_temporal_mvp"]),
+    ("collocated_ref", "ue", lambda f: _hevc_inter(f) and f["uses_temporal_mvp"] and f["refs_l1" if f["collocated_list"] else "refs_l0"] > 1),
+    ("_weights", _hevc_weights, lambda f: f["weighted_pred"] if f["slice_type"] == "P" else _b(f) and f["weighted_bipred"]),
+    ("max_merge", lambda r, f: MOST_MERGED - (r.ue() if _hevc_inter(f) else 0)),
+    ("slice_qp", lambda r, f: f["init_qp"] + (r.se() if _whole(f) else 0)),
+    ("_cb", "se", lambda f: _whole(f) and f["chroma_offsets_present"]),
+    ("_cr", "se", lambda f: _whole(f) and f["chroma_offsets_present"]),
+    ("_override_deblocking", "f", lambda f: _whole(f) and f["deblocking_override"]),
+    ("no_deblocking", lambda r, f: r.read(1) if _overrides(f) else f["deblocking_disabled"]),
+    ("_beta", "se", lambda f: _overrides(f) and not f["no_deblocking"]),
+    ("_tc", "se", lambda f: _overrides(f) and not f["no_deblocking"]),
+    ("_across", "f", lambda f: _whole(f) and f["filter_across_slices"] and (f["sao_luma"] or f["sao_chroma"] or not f["no_deblocking"])),
+    ("_entry_points", _entries, _several),
+    ("several_streams", lambda r, f: int(f["tile_columns"] > 1 or f["tile_rows"] > 1 or bool(f["wavefront"]))),
+    ("_extension", lambda r, f: r.read(8 * min(r.ue(), 256)), lambda f: f["header_extension"]),
+    ("data_byte", lambda r, f: r.pos // 8 + 1),
+]
+
 _SETS = "array<struct<delta:array<int>,used:array<boolean>>>"
 _H264_SPS_COLS = [n for n, *_ in H264_SPS if n[0] != "_"]
 _H264_PPS_COLS = [n for n, *_ in H264_PPS if n[0] != "_"]
 _H264_SLICE_COLS = [n for n, *_ in H264_SLICE if n[0] != "_"]
 _HEVC_SPS_COLS = [n for n, *_ in HEVC_SPS if n[0] != "_"]
 _HEVC_PPS_COLS = [n for n, *_ in HEVC_PPS if n[0] != "_"]
+_HEVC_SLICE_COLS = [n for n, *_ in HEVC_SLICE if n[0] != "_"]
 
 
 def _type(names: list[str]) -> str:
-    kinds = {"slice_type": "string", "short_term_sets": _SETS}
+    kinds = {"slice_type": "string", "short_term_sets": _SETS, "delta": "array<int>", "used": "array<boolean>"}
     return "struct<" + ",".join(f"{n}:{kinds.get(n, 'int')}" for n in names) + ">"
 
 
 H264_SPS_TYPE, H264_PPS_TYPE = _type(_H264_SPS_COLS), _type(_H264_PPS_COLS)
 H264_SLICE_TYPE = _type(_H264_SLICE_COLS)
+HEVC_SLICE_TYPE = _type(_HEVC_SLICE_COLS)
 HEVC_SPS_TYPE, HEVC_PPS_TYPE = _type(_HEVC_SPS_COLS), _type(_HEVC_PPS_COLS)
 
 
@@ -422,6 +558,30 @@ def h264_slice(payload: Column, nal_type: Column, ref_idc: Column, sps: Column,
     return F.get(parse(payload, nal_type, ref_idc, sps, pps), F.lit(0))
 
 
+def hevc_slice(payload: Column, nal_type: Column, sps: Column, pps: Column) -> Column:
+    """HEVC slice header fields; null where the payload or a parameter set is null.
+
+    A dependent segment has no type of its own. ``data_byte`` is the place of the slice data
+    in the payload, ``several_streams`` whether they are tiles or wavefronts.
+    """
+
+    @F.pandas_udf(f"array<{HEVC_SLICE_TYPE}>")
+    def parse(raws: pd.Series, kinds: pd.Series, s: pd.DataFrame, p: pd.DataFrame) -> pd.Series:
+        s, p = s[_HEVC_SPS_COLS].to_dict("records"), p[_HEVC_PPS_COLS].to_dict("records")
+        out = []
+        for raw, kind, a, b in zip(raws, kinds, s, p):
+            if raw is None or pd.isna(a["sps_id"]) or pd.isna(b["pps_id"]):
+                out.append([])
+                continue
+            sets = a.pop("short_term_sets")
+            known = {k: int(v) for k, v in (a | b).items()} | {"short_term_sets": sets, "nal_type": int(kind)}
+            found = read(HEVC_SLICE, BitReader(bytes(raw)), known)
+            out.append([{n: found[n] for n in _HEVC_SLICE_COLS}])
+        return pd.Series(out)
+
+    return F.get(parse(payload, nal_type, sps, pps), F.lit(0))
+
+
 def _records(raw: bytes, at: int, count: int) -> tuple[list[bytes], int, bool]:
     """Units after 16-bit lengths: those that are whole, where they end, and if all are."""
     found = []

@@ -80,6 +80,49 @@ def test_hevc_picture_set():
     assert [found[n] for n in names] == [2, 2, 28, 1, -1, 2, 3, 1, 5, 1]
 
 
+def _hevc_sets():
+    sets = [ue(2), ue(2), ue(0), ue(0), "1", ue(1), "1", "0", ue(1), ue(1), ue(1), "1", ue(0), "1"]
+    sps = S.read(S.HEVC_SPS, reader(*_hevc_sps(sets)))
+    bits = [ue(0), ue(0), "1", "1", "010", "1", "1", ue(1), ue(0), se(2), "0", "0", "0", se(1), se(-1), "1", "1", "1", "0", "0", "0"]
+    return sps, S.read(S.HEVC_PPS, reader(*bits, "1", "1", "1", "0", se(0), se(0), "0", "1", ue(3), "1"))
+
+
+def test_hevc_b_slice():
+    sps, pps = _hevc_sets()
+    assert pps["lists_modification"] and pps["weighted_bipred"] and pps["deblocking_override"]
+    bits = [
+        *("0", ue(0), "0", f"{100:09b}", "11", ue(0), "1", "00001111"),  # second segment, extra bits, type, output, low bits
+        *("0", "0", ue(1), ue(1), ue(2), "1", ue(4), "0"),  # a set of its own: -3 used, 5 unused
+        *("1", "1", "0", "1", ue(1), ue(1)),  # temporal vectors, offsets, two entries in each list
+        *("0", "1", "0"),  # one usable picture, so no list entries: zero differences, initial states, list 1
+        *(ue(0), ue(3), se(0), "10", "01", se(1), se(2), *[se(1)] * 4, "00", "00"),  # collocated entry, weights
+        *(ue(2), se(4), se(1), se(1), "1", "0", se(1), se(-1), "1"),
+        *(ue(2), "00000000" * 2),  # extension
+    ]
+    found = S.read(S.HEVC_SLICE, reader(*bits), sps | pps | {"nal_type": 1})
+    names = ("first_in_picture", "dependent", "address", "slice_type", "poc_lsb", "delta", "used", "refs_l0", "refs_l1", "mvd_l1_zero", "cabac_init")
+    assert [found[n] for n in names] == [0, 0, 100, "B", 15, [-3, 5], [True, False], 2, 2, 0, 1]
+    names = ("uses_temporal_mvp", "collocated_list", "collocated_ref", "max_merge", "slice_qp", "no_deblocking", "several_streams", "data_byte")
+    assert [found[n] for n in names] == [1, 1, 0, 3, 32, 0, 0, sum(map(len, bits)) // 8 + 1]
+
+
+def test_hevc_dependent_segment_and_idr():
+    sps, pps = _hevc_sets()
+    found = S.read(S.HEVC_SLICE, reader("0", ue(0), "1", f"{7:09b}", ue(0)), sps | pps | {"nal_type": 1})
+    assert (found["dependent"], found["address"], found["slice_type"], found["slice_qp"], found["delta"]) == (1, 7, None, 28, [])
+    idr = S.read(S.HEVC_SLICE, reader("1", "0", ue(0), "00", ue(2), "1", "11", se(-2), se(0), se(0), "0", "1", ue(0)), sps | pps | {"nal_type": 19})
+    assert (idr["slice_type"], idr["poc_lsb"], idr["refs_l0"], idr["slice_qp"], idr["sao_luma"]) == ("I", 0, 0, 26, 1)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_damaged_hevc_slices_end(seed):
+    import random
+
+    sps, pps = _hevc_sets()
+    raw = random.Random(seed).randbytes(seed * 7)
+    assert S.read(S.HEVC_SLICE, BitReader(raw), sps | pps | {"nal_type": seed})["data_byte"] > 0
+
+
 def _sized(*units):
     return b"".join(len(u).to_bytes(2, "big") + u for u in units)
 
