@@ -65,9 +65,9 @@ def decimate(pictures: DataFrame, n: int) -> DataFrame:
     return pictures if n <= 1 else pictures.filter(F.col("frame") % n != 0)
 
 
-def filter_chain(rows: DataFrame, l0_only: bool = False, size: int = 0, cell: int = 0) -> DataFrame:
+def filter_chain(rows: DataFrame, l0_only: bool = False, size: int = 0, cell: int = 0, picture: tuple[str, ...] = ("frame",)) -> DataFrame:
     rows = drop_zero(rows)
-    return grid(min_size(list0_only(rows) if l0_only else rows, size), cell)
+    return grid(min_size(list0_only(rows) if l0_only else rows, size), cell, picture)
 
 
 def of_frame(rows: DataFrame, n: int) -> DataFrame:

@@ -1,18 +1,19 @@
-"""From NAL units to slices and pictures of H.264 video."""
+"""From NAL units to slices and pictures, and of H.264 video to vectors."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinefield.operators.pictures import assemble_pictures, display_order, resolve_parameters
-from kinefield.operators.vectors import expand, export
+from kinefield.functions import exprs as X
+from kinefield.operators.pictures import assemble_pictures, display_order, reference_list, resolve_parameters
+from kinefield.operators.vectors import decimate, expand, export
 from kinefield.sources import cavlc, syntax
 
 _SLICES = (1, 5)
 
 
-def _unsupported() -> Column:
+def unsupported() -> Column:
     """Why a slice can't be decoded, or null."""
     head, sps, pps = F.col("head"), F.col("sps"), F.col("pps")
     return (
@@ -27,6 +28,22 @@ def _unsupported() -> Column:
     )
 
 
+def _with_sets(rows: DataFrame, sps_type: str, pps_type: str, keep: tuple[str, ...]) -> DataFrame:
+    """Slices with the parameter sets of their ids before them in their file, as ``sps`` and ``pps``.
+
+    ``rows``: ``keep``, _sps and _pps (null but in units that hold them), _id (of a slice's
+    picture set).
+    """
+    is_sps, is_pps = F.col("_sps").isNotNull(), F.col("_pps").isNotNull()
+    role = F.when(is_sps | is_pps, "set").otherwise("slice").alias("kind")
+    none = F.lit(None)
+    picture_sets = rows.filter(~is_sps).select(*keep, role, F.coalesce("_pps.pps_id", "_id").alias("id"), F.col("_pps").alias("value"))
+    with_pps = resolve_parameters(picture_sets).withColumnRenamed("resolved", "pps")
+    slices = with_pps.select(*keep, F.lit("slice").alias("kind"), F.col("pps.sps_id").alias("id"), none.cast(sps_type).alias("value"), "pps")
+    sets = rows.filter(is_sps).select(*keep, role, F.col("_sps.sps_id").alias("id"), F.col("_sps").alias("value"), none.cast(pps_type).alias("pps"))
+    return resolve_parameters(slices.unionByName(sets)).withColumnRenamed("resolved", "sps")
+
+
 def h264_slices(units: DataFrame) -> DataFrame:
     """video, seq, packet, idr, is_ref, head, sps, pps, unsupported, payload of each slice.
 
@@ -41,45 +58,62 @@ def h264_slices(units: DataFrame) -> DataFrame:
         F.when(kind.isin(*_SLICES), payload).alias("payload"),
         syntax.h264_sps(F.when(kind == 7, payload)).alias("_sps"),
         syntax.h264_pps(F.when(kind == 8, payload)).alias("_pps"),
-        syntax.h264_slice_start(F.when(kind.isin(*_SLICES), payload)).alias("_start"),
+        syntax.h264_slice_start(F.when(kind.isin(*_SLICES), payload))["pps_id"].alias("_id"),
     )
-    role = F.when(kind.isin(7, 8), "set").otherwise("slice").alias("kind")
     keep = ("video", "seq", "packet", "nal_type", "ref_idc", "payload")
-    picture_sets = rows.filter(kind != 7).select(*keep, role, F.coalesce("_pps.pps_id", "_start.pps_id").alias("id"), F.col("_pps").alias("value"))
-    with_pps = resolve_parameters(picture_sets).withColumnRenamed("resolved", "pps")
-    none = F.lit(None)
-    slices = with_pps.select(*keep, F.lit("slice").alias("kind"), F.col("pps.sps_id").alias("id"), none.cast(syntax.H264_SPS_TYPE).alias("value"), "pps")
-    sets = rows.filter(kind == 7).select(*keep, role, F.col("_sps.sps_id").alias("id"), F.col("_sps").alias("value"), none.cast(syntax.H264_PPS_TYPE).alias("pps"))
-    found = resolve_parameters(slices.unionByName(sets)).withColumnRenamed("resolved", "sps")
+    found = _with_sets(rows, syntax.H264_SPS_TYPE, syntax.H264_PPS_TYPE, keep)
     head = syntax.h264_slice(F.col("payload"), F.col("nal_type"), F.col("ref_idc"), F.col("sps"), F.col("pps"))
     return found.withColumn("head", head).select(
         *("video", "seq", "packet"),
         (F.col("nal_type") == 5).alias("idr"),
         (F.col("ref_idc") > 0).alias("is_ref"),
         *("head", "sps", "pps"),
-        _unsupported().alias("unsupported"),
+        unsupported().alias("unsupported"),
         "payload",
     )
 
 
-def h264_vectors(slices: DataFrame) -> DataFrame:
+def h264_motion(slices: DataFrame, skip_every: int = 0, kinds: tuple[str, ...] = ("I", "P")) -> DataFrame:
+    """Decoded slices without CABAC: video, frame, seq, slice_type, first_mb, n_pic_mbs, width_mbs, motion.
+
+    Every ``skip_every``-th picture, from the first, isn't decoded (0 and 1 decode all). A
+    slice needs no other one, so slices are dealt over all tasks before they are decoded.
+    """
+    numbered = decimate(assemble_pictures(slices.withColumn("first_mb", F.col("head.first_mb"))), skip_every)
+    decodable = F.col("unsupported").isNull() & F.col("head.slice_type").isin(*kinds) & (F.col("pps.cabac") == 0)
+    found = numbered.filter(decodable).select("video", "frame", "seq", "payload", "head", "sps", "pps")
+    return h264_motion_of(found.repartition("video", "seq"), kinds)
+
+
+def h264_motion_of(found: DataFrame, kinds: tuple[str, ...] = ("I", "P")) -> DataFrame:
+    """As ``h264_motion``, of slices with their pictures' numbers."""
+    wanted = unsupported().isNull() & F.col("head.slice_type").isin(*kinds) & (F.col("pps.cabac") == 0)
+    return found.filter(wanted).select(
+        *("video", "frame", "seq", "head.slice_type", "head.first_mb"),
+        (F.col("sps.width_in_mbs") * X.mb_height(F.col("sps.height_in_map_units"), F.col("sps.frame_mbs_only"))).alias("n_pic_mbs"),
+        F.col("sps.width_in_mbs").alias("width_mbs"),
+        cavlc.motion(*map(F.col, ("payload", "head", "sps", "pps"))).alias("motion"),
+    )
+
+
+def h264_vectors(slices: DataFrame, skip_every: int = 0) -> DataFrame:
     """Vectors of P slices without CABAC: video, frame, seq, source, w, h, cx, cy, mv_x, mv_y and end points.
 
-    ``seq`` orders a picture's rows; vectors of no length are among them. A slice needs no
-    other one, so slices are dealt over all tasks before they are decoded; I slices, which
-    have no vectors, aren't.
+    ``seq`` orders a picture's rows; vectors of no length are among them. I slices, which
+    have no vectors, aren't decoded.
     """
-    numbered = assemble_pictures(slices.withColumn("first_mb", F.col("head.first_mb")))
-    wanted = numbered.filter(F.col("unsupported").isNull() & (F.col("head.slice_type") == "P") & (F.col("pps.cabac") == 0))
-    found = wanted.select("video", "frame", "seq", "payload", "head", "sps", "pps").repartition("video", "seq")
-    found = found.select("video", "frame", F.col("sps.width_in_mbs").alias("_mbs"), cavlc.motion(*map(F.col, ("payload", "head", "sps", "pps"))).alias("_m"))
-    blocks = found.select("video", "frame", "_mbs", F.explode("_m.blocks").alias("_b")).select("video", "frame", "_mbs", "_b.*")
+    return vectors_of(h264_motion(slices, skip_every, ("P",)))
+
+
+def vectors_of(found: DataFrame, kept: tuple[str, ...] = ("video", "frame")) -> DataFrame:
+    """Rows of decoded slices' partitions, with the columns ``kept`` of their slices."""
+    blocks = found.select(*kept, "width_mbs", F.explode("motion.blocks").alias("_b")).select(*kept, "width_mbs", "_b.*")
     used, none = F.lit(True), F.lit(0)
     part = lambda v: F.struct(used.alias("l0"), (~used).alias("l1"), v["x"].alias("x0"), v["y"].alias("y0"), none.alias("x1"), none.alias("y1"))
-    place = {"mbx": F.col("mb") % F.col("_mbs"), "mby": F.floor(F.col("mb") / F.col("_mbs")).cast("int")}
-    rows = expand(blocks.withColumns({**place, "parts": F.transform("vectors", part)}).drop("vectors", "_mbs"))
+    place = {"mbx": F.col("mb") % F.col("width_mbs"), "mby": F.floor(F.col("mb") / F.col("width_mbs")).cast("int")}
+    rows = expand(blocks.withColumns({**place, "parts": F.transform("vectors", part)}).drop("vectors", "width_mbs"))
     rows = rows.withColumn("seq", F.col("mb") * 8 + F.col("turn"))
-    return export(rows.select("video", "frame", "seq", "source", "w", "h", "cx", "cy", "mv_x", "mv_y"), "h264")
+    return export(rows.select(*kept, "seq", "source", "w", "h", "cx", "cy", "mv_x", "mv_y"), "h264")
 
 
 def h264_pictures(slices: DataFrame) -> DataFrame:
@@ -101,3 +135,54 @@ def h264_pictures(slices: DataFrame) -> DataFrame:
     pictures = pictures.select("*", "_first.*").drop("_first")
     ordered = display_order(pictures, F.greatest("log2_max_poc_lsb", F.lit(4)))
     return ordered.withColumn("poc", F.when(F.col("poc_type") == 0, F.col("poc"))).drop("poc_type", "log2_max_poc_lsb")
+
+
+def hevc_slices(units: DataFrame) -> DataFrame:
+    """video, seq, packet, nal_type, temporal_id, head, sps, pps, bytes, unsupported of each segment.
+
+    As ``h264_slices``; the payload isn't kept, only its size in ``bytes``. ``unsupported``
+    is set for tiles, wavefronts and dependent segments.
+    """
+    kind, payload = F.col("nal_type"), F.col("payload")
+    coded = X.is_vcl(kind, "hevc")
+    # A header begins with a flag, a second one in pictures to begin with, and the set's id.
+    start = F.lpad(F.conv(F.hex(F.substring(payload, 1, 4)), 16, 2), 8 * F.least(F.length(payload), F.lit(4)), F.lit("0"))
+    code = F.substr(start, F.when(X.is_irap(kind), 3).otherwise(2))
+    zeros = F.length(code) - F.length(F.ltrim(code, F.lit("0")))
+    rows = units.filter((F.col("codec") == "hevc") & (kind.isin(33, 34) | coded)).select(
+        F.col("path").alias("video"),
+        F.col("nal_no").alias("seq"),
+        *("packet", "nal_type", "temporal_id"),
+        F.when(coded, payload).alias("payload"),
+        syntax.hevc_sps(F.when(kind == 33, payload)).alias("_sps"),
+        syntax.hevc_pps(F.when(kind == 34, payload)).alias("_pps"),
+        F.when(coded, X.ue_value(F.substr(code, F.lit(1), 2 * zeros + 1))).alias("_id"),
+    )
+    keep = ("video", "seq", "packet", "nal_type", "temporal_id", "payload")
+    found = _with_sets(rows, syntax.HEVC_SPS_TYPE, syntax.HEVC_PPS_TYPE, keep)
+    found = found.withColumn("head", syntax.hevc_slice(F.col("payload"), F.col("nal_type"), F.col("sps"), F.col("pps")))
+    why = F.when(F.col("head.several_streams") == 1, "tiles or wavefronts").when(F.col("head.slice_type").isNull(), "dependent segment")
+    return found.select(*keep[:-1], "head", "sps", "pps", F.length("payload").alias("bytes"), why.alias("unsupported"))
+
+
+def hevc_pictures(slices: DataFrame) -> DataFrame:
+    """One row for each picture: its first segment's fields, display count, lists and collocated count.
+
+    ``l0`` and ``l1`` hold display counts of the pictures that the set of the first segment
+    marks as used, in turn from before and after; ``col_poc`` is the entry that temporal
+    vectors come from, else null. Counts begin anew at IDR pictures and broken links.
+    """
+    rows = assemble_pictures(slices.withColumn("first_mb", 1 - F.col("head.first_in_picture")))
+    first = F.struct("nal_type", "temporal_id", "head", F.col("sps.log2_max_poc_lsb").alias("_bits"))
+    pictures = rows.groupBy("video", "frame").agg(F.min("seq").alias("seq"), F.min_by(first, "seq").alias("_first"), F.count("*").alias("n_slices"))
+    pictures = pictures.select("video", "frame", "seq", "n_slices", "_first.*").withColumn("lsb", F.coalesce("head.poc_lsb", F.lit(0)))
+    idr, broken = X.is_idr(F.col("nal_type"), "hevc"), X.is_bla(F.col("nal_type"))
+    ordered = display_order(pictures, F.col("_bits"), anchor=F.col("temporal_id") == 0, restart=idr | broken)
+    used = F.filter(F.arrays_zip("head.delta", "head.used"), lambda d: d["used"])
+    side = lambda keep: F.transform(F.filter(used, keep), lambda d: F.col("poc") + d["delta"])
+    before, after = side(lambda d: d["delta"] < 0), side(lambda d: d["delta"] >= 0)
+    size = lambda k: F.coalesce(F.col(f"head.refs_l{k}"), F.lit(0))
+    listed = ordered.withColumns({"l0": reference_list(before, after, size(0)), "l1": reference_list(after, before, size(1))})
+    entries = F.when(F.col("head.collocated_list") == 1, F.col("l1")).otherwise(F.col("l0"))
+    col = F.when(F.col("head.uses_temporal_mvp") == 1, F.get(entries, F.coalesce("head.collocated_ref", F.lit(0))))
+    return listed.select("video", "frame", "seq", "n_slices", "nal_type", "head.slice_type", "poc", "l0", "l1", col.alias("col_poc"))

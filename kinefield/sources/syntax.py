@@ -531,9 +531,9 @@ hevc_sps = _parser(HEVC_SPS, _HEVC_SPS_COLS, HEVC_SPS_TYPE)
 hevc_pps = _parser(HEVC_PPS, _HEVC_PPS_COLS, HEVC_PPS_TYPE)
 
 
-_STARTS = [("first_mb", "ue"), ("slice_code", "ue"), ("pps_id", "ue")]
 #: The fields before those that depend on parameter sets.
-h264_slice_start = _parser(_STARTS, [n for n, _ in _STARTS], _type([n for n, _ in _STARTS]))
+H264_START = [("first_mb", "ue"), ("slice_code", "ue"), ("pps_id", "ue")]
+h264_slice_start = _parser(H264_START, [n for n, _ in H264_START], _type([n for n, _ in H264_START]))
 
 
 def h264_slice(payload: Column, nal_type: Column, ref_idc: Column, sps: Column, pps: Column) -> Column:

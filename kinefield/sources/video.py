@@ -16,7 +16,7 @@ from kinefield.sources.syntax import h264_record, hevc_record
 #: Sample entries with HEVC pictures, and names of raw HEVC files.
 HEVC_ENTRIES = (b"hvc1", b"hev1")
 HEVC_ENDINGS = (".265", ".h265", ".hevc")
-UNITS = "path string, codec string, packet int, nal_no int, nal_type int, ref_idc int, payload binary"
+UNITS = "path string, codec string, packet int, nal_no int, nal_type int, ref_idc int, temporal_id int, payload binary"
 #: Rows of a file that are sent on at once.
 _CHUNK = 256
 
@@ -120,6 +120,8 @@ def packets(path: str, data: bytes) -> Iterator[tuple[str, int, list[bytes]]]:
 def units(files: DataFrame, strict: bool = True) -> DataFrame:
     """Units of (path, content) rows, numbered in file order.
 
+    ``ref_idc`` is null in HEVC, ``temporal_id`` in H.264.
+
     Null contents give no row. Other files without video raise if ``strict``, else give none.
     """
 
@@ -134,17 +136,17 @@ def units(files: DataFrame, strict: bool = True) -> DataFrame:
                         for u in found:
                             if len(u) < head or u[0] & 0x80:
                                 continue
-                            kind, ref = (u[0] >> 1 & 63, None) if head == 2 else (u[0] & 31, u[0] >> 5 & 3)
-                            rows.append((path, codec, packet, number, kind, ref, rbsp_bytes(u[head:])))
+                            kind, ref, layer = (u[0] >> 1 & 63, None, (u[1] & 7) - 1) if head == 2 else (u[0] & 31, u[0] >> 5 & 3, None)
+                            rows.append((path, codec, packet, number, kind, ref, layer, rbsp_bytes(u[head:])))
                             number += 1
                         if len(rows) >= _CHUNK:
-                            yield pd.DataFrame(rows, columns=names).astype({"ref_idc": "Int32"})
+                            yield pd.DataFrame(rows, columns=names).astype({"ref_idc": "Int32", "temporal_id": "Int32"})
                             rows = []
                 except ValueError:
                     if strict:
                         raise
                 if rows:
-                    yield pd.DataFrame(rows, columns=names).astype({"ref_idc": "Int32"})
+                    yield pd.DataFrame(rows, columns=names).astype({"ref_idc": "Int32", "temporal_id": "Int32"})
 
     return files.select("path", "content").mapInPandas(run, UNITS)
 
