@@ -169,7 +169,7 @@ def hevc_pictures(slices: DataFrame) -> DataFrame:
     """One row for each picture: its first segment's fields, display count, lists and collocated count.
 
     ``l0`` and ``l1`` hold display counts of the pictures that the set of the first segment
-    marks as used, in turn from before and after; ``col_poc`` is the entry that temporal
+    marks as used, nearest first, in turn from before and after; ``col_poc`` is the entry that temporal
     vectors come from, else null. Counts begin anew at IDR pictures and broken links.
     """
     rows = assemble_pictures(slices.withColumn("first_mb", 1 - F.col("head.first_in_picture")))
@@ -180,7 +180,8 @@ def hevc_pictures(slices: DataFrame) -> DataFrame:
     ordered = display_order(pictures, F.col("_bits"), anchor=F.col("temporal_id") == 0, restart=idr | broken)
     used = F.filter(F.arrays_zip("head.delta", "head.used"), lambda d: d["used"])
     side = lambda keep: F.transform(F.filter(used, keep), lambda d: F.col("poc") + d["delta"])
-    before, after = side(lambda d: d["delta"] < 0), side(lambda d: d["delta"] >= 0)
+    # Sets are sorted; the nearest picture comes first on either side.
+    before, after = F.reverse(side(lambda d: d["delta"] < 0)), side(lambda d: d["delta"] >= 0)
     size = lambda k: F.coalesce(F.col(f"head.refs_l{k}"), F.lit(0))
     listed = ordered.withColumns({"l0": reference_list(before, after, size(0)), "l1": reference_list(after, before, size(1))})
     entries = F.when(F.col("head.collocated_list") == 1, F.col("l1")).otherwise(F.col("l0"))
