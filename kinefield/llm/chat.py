@@ -11,8 +11,11 @@ no text holds a control string, and dropping one backslash restores it.
 
 Defined results: null text or role is empty. A message whose parent is missing or null
 is a root. A null tree id is a tree of its own. Messages on a cycle, or
-below one, have no root and belong to no path. Of equal scores the smaller leaf id ranks first. Rows that share a
-tree and message id are alternatives, as of one message: the least (role, text) counts.
+below one, have no root and belong to no path. Of equal scores the smaller leaf id ranks
+first. Rows that share a tree and message id are alternatives, as of one message: the
+least (role, text) counts. In a linear conversation repeated rows are turns of their own.
+A conversation with all its texts is one value, so it must fit in a task. An empty table
+gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ size, so no task holds more than one record and its buffers.
 
 Defined results: a null html is an empty payload, a null url a record without a target.
 A null page_id revisits the response if another row has one, else is a response. Repeated
-rows of the largest page_id are responses each. An empty table gives an empty manifest.
+rows of the largest page_id are responses each. A very long page is one record, which a
+task holds whole. An empty table gives an empty manifest. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -151,20 +152,26 @@ def write_archives(
     return rows.mapInArrow(run, "path string, records long")
 
 
-def read_stream(file):
-    """The records (bytes) of one gzip stream, inflated once; any count of members."""
-    inflate, held = zlib.decompressobj(wbits=31), bytearray()
-    need = -1  # bytes of the record at the front, once its header is there
-    while True:
-        data = file.read(_BLOCK)
-        if not data and not inflate.unused_data:
-            break
+def _inflated(file):
+    """What a gzip stream of any count of members holds, in pieces of a bounded size."""
+    inflate = zlib.decompressobj(wbits=31)
+    while data := file.read(_BLOCK):
         while data:
-            held += inflate.decompress(data)
-            data = b""
+            yield inflate.decompress(data, _BLOCK)
+            data = inflate.unconsumed_tail
             if inflate.eof:
-                data = inflate.unused_data
-                inflate = zlib.decompressobj(wbits=31)
+                data, inflate = inflate.unused_data, zlib.decompressobj(wbits=31)
+    # All input is taken, but a piece of full size may have left some of what it holds.
+    while piece := inflate.decompress(b"", _BLOCK):
+        yield piece
+
+
+def read_stream(file):
+    """The records (bytes) of one gzip stream, inflated once; one record is held at a time."""
+    held = bytearray()
+    need = -1  # bytes of the record at the front, once its header is there
+    for piece in _inflated(file):
+        held += piece
         at = 0
         while True:
             if need < 0:

@@ -1,4 +1,6 @@
+import gzip
 import hashlib
+import io
 import random
 import zlib
 
@@ -81,9 +83,41 @@ def test_control_strings_never_stay(spark):
         assert r.back == r.t and not any(c in r.e for c in ("<|im_end|>", "</s>", "<s>", "[INST]", "<<SYS>>"))
 
 
+def test_linear_conversations(spark):
+    """A very long text, repeated rows and turns, nulls, and columns named as internal ones."""
+    long = "x<|im_end|>\n" * 20_000
+    rows = [
+        (1, 0, "user", long, "a", 1), (1, 1, "assistant", "</s>", "a", 1), (1, 1, "assistant", "</s>", "a", 1),
+        (2, None, None, None, None, None), (None, 0, "assistant", "y", "b", 2),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, msg string, tree int")
+    made = chat.format_threads(chat.conversation_messages(df))
+    found = made.select("tree", chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("l"))
+    got = {r.tree: ([tuple(t) for t in r.t], r.l) for r in found.collect()}
+    assert got == {
+        1: ([("user", long), ("assistant", "</s>"), ("assistant", "</s>")], "</s></s>"),
+        2: ([("", "")], ""),
+        None: ([("assistant", "y")], "y"),
+    }
+    assert chat.format_threads(chat.conversation_messages(df.limit(0))).count() == 0
+
+
 # 2. WARC ---------------------------------------------------------------------------------
 
 
+def test_streams_inflate_in_pieces(monkeypatch):
+    """Highly packed members, one after another, with pieces smaller than records."""
+    records = [warc.record(k, None, (b"x" * 5000 if k % 2 else b"") + str(k).encode(), None) for k in range(30)]
+    for cut in (1, 7, 30):
+        data = b"".join(gzip.compress(b"".join(records[k : k + cut])) for k in range(0, 30, cut))
+        for size in (1 << 20, 100, 3):
+            monkeypatch.setattr(warc, "_BLOCK", size)
+            assert all(len(p) <= size for p in warc._inflated(io.BytesIO(data)))
+            assert list(warc.read_stream(io.BytesIO(data))) == records
+            with pytest.raises(ValueError):
+                list(warc.read_stream(io.BytesIO(gzip.compress(records[0][:-1]))))
+
+
 def test_archives(spark, tmp_path):
     pages = [(1, "http://a/é x", "same"), (5, None, "same"), (3, "u", "same"), (4, "u", None), (6, "u", "ü" * 3000), (None, "u", "same")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
@@ -97,6 +131,19 @@ def test_archives(spark, tmp_path):
     assert warc.read_records(empty).count() == 0
 
 
+def test_archives_of_odd_rows(spark):
+    """Repeated rows of the largest page_id, a very long page, columns named as internal ones."""
+    long = "ab" * 2_000_000
+    pages = [(1, "u", "same", "x", 1), (9, "u", "same", "x", 1), (9, "u", "same", "x", 1), (2, None, long, None, None), (3, "u", "", "x", 1)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, refers_to string, rp int")
+    scratch = Scratch(spark, "t")
+    written = scratch.table(warc.write_archives(df, scratch.path("w"), scratch), "m")
+    rows = warc.read_records(scratch.table(warc.normalise(written, scratch.path("normal")), "n")).collect()
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in rows if r.page_id != 1)
+    assert got == [(2, 4_000_000, "response", None), (3, 0, "response", None), (9, 4, "response", None), (9, 4, "response", None)]
+    assert [(r.record_type, r.refers_to) for r in rows if r.page_id == 1] == [("revisit", 9)]
+
+
 # 3. Fingerprints -------------------------------------------------------------------------
 
 
