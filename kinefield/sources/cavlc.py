@@ -7,6 +7,7 @@ alone. Samples have eight bits.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 
 import pandas as pd
@@ -152,6 +153,8 @@ INTER_PATTERNS_GREY = (0, 1, 2, 4, 8, 3, 5, 10, 12, 15, 7, 11, 13, 14, 6, 9)
 INTRA_PATTERNS_GREY = (15, 0, 7, 11, 13, 14, 3, 5, 10, 12, 1, 2, 4, 8, 6, 9)
 #: Parts (x, y, width, height in blocks of four) of macroblocks and of their quarters, by type.
 PARTS = (("16x16", ((0, 0, 4, 4),)), ("16x8", ((0, 0, 4, 2), (0, 2, 4, 2))), ("8x16", ((0, 0, 2, 4), (2, 0, 2, 4))))
+#: Neighbours whose vectors the parts take first: left 0, above 1, diagonal 2.
+SIDES = ((None,), (1, 0), (0, 2))
 QUARTERS = (
     ((0, 0, 2, 2),),
     ((0, 0, 2, 1), (0, 1, 2, 1)),
@@ -279,6 +282,7 @@ class Slice:
         self.ref, self.vector, self.counts = [MISSING] * size, [(0, 0)] * size, [-1] * size
         self.chroma_counts = [[-1] * (self.chroma_row * (self.chroma * self.height + 1)) for _ in range(2 if self.chroma else 0)]
         self.blocks: list[tuple[int, str, list[tuple[int, int]]]] = []
+        self.end = self.first
 
     def decode(self) -> tuple[bool, int]:
         """Whether all of it could be read, and how many macroblocks were."""
@@ -300,9 +304,29 @@ class Slice:
                 mb += 1
                 if not reader.more_data():
                     break
+            complete = True
         except Broken:
-            return False, mb - self.first
-        return True, mb - self.first
+            complete = False
+        self.end = mb
+        return complete, mb - self.first
+
+    def rows(self) -> list[tuple[int, str, list[tuple]]]:
+        """(macroblock, shape, parts); a part is (list 0 used, list 1 used, x0, y0, x1, y1)."""
+        return [(mb, shape, [(True, False, x, y, 0, 0) for x, y in vectors]) for mb, shape, vectors in self.blocks]
+
+    def lists(self) -> list[tuple[list[int], list[tuple[int, int]]]]:
+        """References and vectors of the lists in use, by block."""
+        return [(self.ref, self.vector)]
+
+    def corners(self) -> dict[int, list[tuple]]:
+        """(ref, x, y) in each list in use of the outer blocks of quarters, by macroblock."""
+        out = {}
+        for mb in range(self.first, self.end):
+            y, x = divmod(mb, self.width)
+            at = (4 * y + 1) * self.row + 4 * x + 1
+            places = (at, at + 3, at + 3 * self.row, at + 3 * self.row + 3)
+            out[mb] = [[(refs[p], *vectors[p]) for refs, vectors in self.lists()] for p in places]
+        return out
 
     def _start(self, mb: int) -> None:
         y, x = divmod(mb, self.width)
@@ -363,7 +387,7 @@ class Slice:
         else:
             self._inter(mb, kind)
 
-    def _reference(self) -> int:
+    def _reference(self, x: int, y: int, w: int, h: int) -> int:
         if self.references <= 1:
             return 0
         return 1 - self.reader.read(1) if self.references == 2 else self.reader.ue()
@@ -371,35 +395,45 @@ class Slice:
     def _part(self, x: int, y: int, w: int, h: int, ref: int, side: int | None = None) -> tuple[int, int]:
         at = self.at + y * self.row + x
         px, py = self._directed(at, w, ref, side)
-        vector = px + self.reader.se(), py + self.reader.se()
-        self._fill(at, w, h, ref, vector)
-        return vector
+        dx, dy = self._difference(at, w, h)
+        self._fill(at, w, h, ref, (px + dx, py + dy))
+        return px + dx, py + dy
+
+    def _difference(self, at: int, w: int, h: int) -> tuple[int, int]:
+        return self.reader.se(), self.reader.se()
+
+    def _quarter(self) -> int:
+        kind = self.reader.ue()
+        if kind > 3:
+            raise Broken
+        return kind
 
     def _inter(self, mb: int, kind: int) -> None:
-        reader, whole = self.reader, True
+        whole = True
         if kind < 3:
             shape, parts = PARTS[kind]
-            sides = ((None,), (1, 0), (0, 2))[kind]
-            refs = [self._reference() for _ in parts]
-            vectors = [self._part(*p, ref, side) for p, ref, side in zip(parts, refs, sides)]
+            refs = [self._reference(*p) for p in parts]
+            vectors = [self._part(*p, ref, side) for p, ref, side in zip(parts, refs, SIDES[kind])]
         else:
             shape, vectors = "8x8", []
-            kinds = [reader.ue() for _ in range(4)]
-            if max(kinds) > 3:
-                raise Broken
+            kinds = [self._quarter() for _ in range(4)]
             whole = not any(kinds)
-            refs = [0 if kind == 4 else self._reference() for _ in kinds]
-            for k, (sub, ref) in enumerate(zip(kinds, refs)):
+            places = [(2 * (k % 2), 2 * (k // 2)) for k in range(4)]
+            refs = [0 if kind == 4 else self._reference(x, y, 2, 2) for x, y in places]
+            for sub, ref, (x, y) in zip(kinds, refs, places):
                 # A quarter is exported with the vector of its first part.
-                x, y = 2 * (k % 2), 2 * (k // 2)
                 vectors.append([self._part(x + dx, y + dy, w, h, ref) for dx, dy, w, h in QUARTERS[sub]][0])
+        self.blocks.append((mb, shape, vectors))
+        self._coded(whole)
+
+    def _coded(self, whole: bool) -> None:
+        """What follows the vectors; ``whole``: no part is smaller than a quarter."""
         pattern = self._pattern(INTER_PATTERNS if self.chroma else INTER_PATTERNS_GREY)
         if self.transform_8x8 and pattern & 15 and whole:
-            reader.read(1)
+            self.reader.read(1)
         if pattern:
-            reader.se()
+            self.reader.se()
             self._residuals(pattern)
-        self.blocks.append((mb, shape, vectors))
 
     def _pattern(self, patterns: tuple[int, ...]) -> int:
         code = self.reader.ue()
@@ -458,23 +492,29 @@ class Slice:
                     counts[at] = self._block(counts, at, self.chroma_row, 15)
 
 
-MOTION_TYPE = "struct<complete:boolean,n_mbs:int,blocks:array<struct<mb:int,shape:string,vectors:array<struct<x:int,y:int>>>>>"
+PART = "struct<l0:boolean,l1:boolean,x0:int,y0:int,x1:int,y1:int>"
+MOTION_TYPE = f"struct<complete:boolean,n_mbs:int,blocks:array<struct<mb:int,shape:string,parts:array<{PART}>>>>"
+_PART_NAMES = ("l0", "l1", "x0", "y0", "x1", "y1")
+
+
+def told(found: Slice) -> dict:
+    """``MOTION_TYPE`` of a slice, which is decoded here."""
+    complete, n = found.decode()
+    parts = lambda ps: [dict(zip(_PART_NAMES, p)) for p in ps]
+    return {"complete": complete, "n_mbs": n, "blocks": [{"mb": mb, "shape": shape, "parts": parts(ps)} for mb, shape, ps in found.rows()]}
 
 
-def motion(payload: Column, head: Column, sps: Column, pps: Column) -> Column:
+def motion(payload: Column, head: Column, sps: Column, pps: Column, make: Callable[..., Slice] = Slice) -> Column:
     """``MOTION_TYPE`` of I and P slices; damaged ones give what comes before the damage.
 
     Sub-partitions of a quarter stand for it with their first vector. Null fields raise.
+    ``make``: from the payload and the fields to a slice that can be decoded.
     """
 
     @F.pandas_udf(MOTION_TYPE)
     def run(raws: pd.Series, heads: pd.DataFrame, s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for raw, *fields in zip(raws, *(x.to_dict("records") for x in (heads, s, p))):
-            found = Slice(bytes(raw), *fields)
-            complete, n = found.decode()
-            blocks = [{"mb": mb, "shape": shape, "vectors": [{"x": x, "y": y} for x, y in vs]} for mb, shape, vs in found.blocks]
-            out.append((complete, n, blocks))
+        fields = zip(raws, *(x.to_dict("records") for x in (heads, s, p)))
+        out = [told(make(bytes(raw), *rest)) for raw, *rest in fields]
         return pd.DataFrame(out, columns=["complete", "n_mbs", "blocks"])
 
     return run(payload, head, sps, pps)
