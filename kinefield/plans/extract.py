@@ -12,6 +12,7 @@ from kinefield.operators import vectors as V
 from kinefield.operators.pictures import assemble_pictures
 from kinefield.plans import pictures as P
 from kinefield.sources import mvcsv, video
+from kinefield.sources.cabac import Tables, read_tables
 
 #: Columns of the counters that are counts, and their order; others are of a sequence.
 COUNTS = (
@@ -28,7 +29,9 @@ class Options:
 
     ``skip_every``: each such picture, from the first, isn't decoded, but is counted.
     ``min_size`` and ``grid`` in pixels; 0 is off. ``printed``: without it no vector is
-    told or counted. ``layout``: compact or full.
+    told or counted. ``layout``: compact or full. ``tables``: a file of the arithmetic
+    codes' tables (``sources.cabac.read_tables``), without which such slices aren't decoded.
+    ``b_slices``: B slices are, which needs ``tables``.
     """
 
     printed: bool = True
@@ -37,10 +40,17 @@ class Options:
     min_size: int = 0
     grid: int = 0
     skip_every: int = 0
+    tables: str | None = None
+    b_slices: bool = False
 
     def __post_init__(self):
         if self.layout not in ("compact", "full"):
             raise ValueError(f"layout {self.layout}: compact or full")
+        if self.b_slices and not self.tables:
+            raise ValueError("B slices need tables")
+
+    def known_tables(self) -> Tables | None:
+        return read_tables(self.tables) if self.tables else None
 
 
 def extract(units: DataFrame, options: Options = Options()) -> DataFrame:
@@ -49,7 +59,7 @@ def extract(units: DataFrame, options: Options = Options()) -> DataFrame:
     HEVC files have pictures and counters but no vectors yet. Rows aren't in order;
     ``operators.vectors.in_order`` sorts them.
     """
-    rows = P.h264_vectors(P.h264_slices(units), options.skip_every)
+    rows = P.h264_vectors(P.h264_slices(units), options.skip_every, options.known_tables(), options.b_slices)
     rows = V.filter_chain(rows, options.l0_only, options.min_size, options.grid, ("video", "frame"))
     if not options.printed:
         rows = rows.limit(0)
@@ -71,7 +81,7 @@ def _h264(units: DataFrame, options: Options) -> DataFrame:
     is_b = F.col("head.slice_type") == "B"
     heads = slices.groupBy("video").agg(
         F.count_if(F.col("head.first_mb") == 0).alias("frames"),
-        F.count_if(is_b).alias("b_skipped"),
+        F.count_if(is_b & F.lit(not options.b_slices)).alias("b_skipped"),
         *(F.count_if(F.col("head.slice_type") == t).alias(f"{t.lower()}_slices") for t in "IPB"),
         F.min("head.slice_qp").alias("qp_min"),
         F.max("head.slice_qp").alias("qp_max"),
@@ -79,12 +89,18 @@ def _h264(units: DataFrame, options: Options) -> DataFrame:
         F.max_by(X.mb_height(F.col("sps.height_in_map_units"), F.col("sps.frame_mbs_only")) * 16, "seq").alias("height"),
         F.max_by("sps.profile_idc", "seq").alias("profile_idc"),
     )
-    left = placed.filter(~is_b).groupBy("video").agg(
-        F.count_if(F.col("unsupported").isNotNull() | (F.col("pps.cabac") == 1)).alias("unsupported")
-    )
-    motion = P.h264_motion(slices, options.skip_every)
+    tables = options.known_tables()
+    left_out = F.col("unsupported").isNotNull() | (F.col("pps.cabac") == 1) & F.lit(tables is None)
+    left = placed.filter(~is_b | F.lit(options.b_slices)).groupBy("video").agg(F.count_if(left_out).alias("unsupported"))
+    if options.b_slices:
+        motion = P.h264_sequences(slices, tables, options.skip_every)
+    else:
+        motion = P.h264_motion(slices, options.skip_every, tables=tables)
+    coded_b = F.col("slice_type") == "B"
     done = motion.groupBy("video").agg(
-        F.count("*").alias("cavlc_decoded"),
+        F.count_if((F.col("cabac") == 0) & ~coded_b).alias("cavlc_decoded"),
+        F.count_if((F.col("cabac") == 1) & ~coded_b).alias("cabac_decoded"),
+        F.count_if(coded_b).alias("b_decoded"),
         F.count_if(F.col("first_mb") + F.col("motion.n_mbs") != F.col("n_pic_mbs")).alias("incomplete"),
         F.count_if(~F.col("motion.complete")).alias("parse_errors"),
     )
@@ -116,8 +132,8 @@ def _hevc(units: DataFrame) -> DataFrame:
 def counters(units: DataFrame, options: Options = Options()) -> DataFrame:
     """One row for each file that has slices: its counts, sizes and range of QP.
 
-    ``unsupported`` counts slices that can't be decoded, in H.264 those with CABAC too; B
-    slices are ``b_skipped``. ``frames`` counts all pictures, decoded or not. HEVC slices
+    ``unsupported`` counts slices that can't be decoded with these options, but for B
+    slices, which are ``b_skipped`` where they aren't asked for. ``frames`` counts all pictures, decoded or not. HEVC slices
     that could be decoded are ``sync_attempt``; none is decoded yet.
     """
     parts = _h264(units, options).unionByName(_hevc(units), allowMissingColumns=True)

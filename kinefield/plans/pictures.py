@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinefield.functions import exprs as X
-from kinefield.operators.pictures import assemble_pictures, display_order, reference_list, resolve_parameters
+from kinefield.operators.pictures import assemble_pictures, collocated, display_order, reference_list, resolve_parameters
 from kinefield.operators.vectors import decimate, expand, export
-from kinefield.sources import cavlc, syntax
+from kinefield.sources import cabac, cavlc, syntax
+from kinefield.sources.cabac import Tables
 
 _SLICES = (1, 5)
 
@@ -73,45 +75,95 @@ def h264_slices(units: DataFrame) -> DataFrame:
     )
 
 
-def h264_motion(slices: DataFrame, skip_every: int = 0, kinds: tuple[str, ...] = ("I", "P")) -> DataFrame:
-    """Decoded slices without CABAC: video, frame, seq, slice_type, first_mb, n_pic_mbs, width_mbs, motion.
+def _numbered(slices: DataFrame) -> DataFrame:
+    return assemble_pictures(slices.withColumn("first_mb", F.col("head.first_mb")))
 
-    Every ``skip_every``-th picture, from the first, isn't decoded (0 and 1 decode all). A
-    slice needs no other one, so slices are dealt over all tasks before they are decoded.
+
+def h264_motion(slices: DataFrame, skip_every: int = 0, kinds: tuple[str, ...] = ("I", "P"), tables: Tables | None = None) -> DataFrame:
+    """Decoded slices: video, frame, seq, slice_type, cabac, first_mb, n_pic_mbs, width_mbs, motion.
+
+    Every ``skip_every``-th picture, from the first, isn't decoded (0 and 1 decode all);
+    arithmetic-coded slices are where there are ``tables``. I and P slices need no other one, so
+    they are dealt over all tasks before they are decoded. For B slices see ``h264_sequences``.
     """
-    numbered = decimate(assemble_pictures(slices.withColumn("first_mb", F.col("head.first_mb"))), skip_every)
-    decodable = F.col("unsupported").isNull() & F.col("head.slice_type").isin(*kinds) & (F.col("pps.cabac") == 0)
-    found = numbered.filter(decodable).select("video", "frame", "seq", "payload", "head", "sps", "pps")
-    return h264_motion_of(found.repartition("video", "seq"), kinds)
+    numbered = decimate(_numbered(slices), skip_every).filter(_decodable(kinds, tables))
+    found = numbered.select("video", "frame", "seq", "payload", "head", "sps", "pps")
+    return h264_motion_of(found.repartition("video", "seq"), kinds, tables)
+
+
+def _decodable(kinds: tuple[str, ...], tables: Tables | None) -> Column:
+    known = unsupported().isNull() & F.col("head.slice_type").isin(*kinds)
+    return known if tables else known & (F.col("pps.cabac") == 0)
 
 
-def h264_motion_of(found: DataFrame, kinds: tuple[str, ...] = ("I", "P")) -> DataFrame:
+def _layout() -> list[Column]:
+    width = F.col("sps.width_in_mbs")
+    height = X.mb_height(F.col("sps.height_in_map_units"), F.col("sps.frame_mbs_only"))
+    return [F.col("head.slice_type"), F.col("pps.cabac"), F.col("head.first_mb"), (width * height).alias("n_pic_mbs"), width.alias("width_mbs")]
+
+
+def h264_motion_of(found: DataFrame, kinds: tuple[str, ...] = ("I", "P"), tables: Tables | None = None) -> DataFrame:
     """As ``h264_motion``, of slices with their pictures' numbers."""
-    wanted = unsupported().isNull() & F.col("head.slice_type").isin(*kinds) & (F.col("pps.cabac") == 0)
-    return found.filter(wanted).select(
-        *("video", "frame", "seq", "head.slice_type", "head.first_mb"),
-        (F.col("sps.width_in_mbs") * X.mb_height(F.col("sps.height_in_map_units"), F.col("sps.frame_mbs_only"))).alias("n_pic_mbs"),
-        F.col("sps.width_in_mbs").alias("width_mbs"),
-        cavlc.motion(*map(F.col, ("payload", "head", "sps", "pps"))).alias("motion"),
+    fields = map(F.col, ("payload", "head", "sps", "pps"))
+    make = lambda raw, head, sps, pps: cabac.slice_of(raw, head, sps, pps, tables)
+    return found.filter(_decodable(kinds, tables)).select("video", "frame", "seq", *_layout(), cavlc.motion(*fields, make).alias("motion"))
+
+
+def h264_sequences(slices: DataFrame, tables: Tables, skip_every: int = 0) -> DataFrame:
+    """As ``h264_motion``, with B slices.
+
+    A B slice needs the motion of its collocated picture, so the pictures from an IDR
+    picture to the next one are a group, in order, if one of them has a B slice; other
+    slices are groups of their own. B slices without an earlier reference are left out.
+    """
+    numbered = _numbered(slices)
+    is_b = F.col("unsupported").isNull() & (F.col("head.slice_type") == "B")
+    first = F.struct("idr", "is_ref", F.col("head.poc_lsb").alias("lsb"), F.greatest("sps.log2_max_poc_lsb", F.lit(4)).alias("_bits"), "sps.poc_type")
+    sizes = F.struct(F.col("head.num_ref_l0").alias("n0"), F.col("head.num_ref_l1").alias("n1"))
+    pictures = numbered.groupBy("video", "frame").agg(
+        F.min("seq").alias("seq"), F.min_by(first, "seq").alias("_f"), F.min_by(sizes, F.when(is_b, F.col("seq"))).alias("_n"), F.max(is_b).alias("_b")
+    )
+    pictures = display_order(pictures.select("video", "frame", "seq", "_f.*", "_n", "_b"), F.col("_bits"))
+    in_order = Window.partitionBy("video").orderBy("seq")
+    pictures = decimate(pictures.withColumn("_epoch", F.sum(F.col("idr").cast("int")).over(in_order)), skip_every)
+    whole = F.max("_b").over(Window.partitionBy("video", "_epoch"))
+    places = pictures.select("video", "frame", "_epoch", whole.alias("_whole"))
+    known = pictures.filter("poc_type = 0").withColumn("video", F.struct("video", F.col("_epoch").alias("epoch")))
+    col = collocated(known, n0=F.coalesce("_n.n0", F.lit(1)), n1=F.coalesce("_n.n1", F.lit(1))).select("video.video", "frame", "col_frame")
+    rows = numbered.filter(_decodable(("I", "P", "B"), tables)).join(places, ["video", "frame"]).join(col, ["video", "frame"], "left")
+    rows = rows.filter((F.col("head.slice_type") != "B") | F.col("col_frame").isNotNull())
+    rows = rows.select(
+        *("video", "frame", "seq", *_layout(), "_epoch", F.when(F.col("_whole"), -1).otherwise(F.col("seq")).alias("_alone")),
+        *("col_frame", "is_ref", "payload", "head", "sps", "pps"),
     )
+    out = rows.select("video", "frame", "seq", "slice_type", "cabac", "first_mb", "n_pic_mbs", "width_mbs").schema.add("motion", T.DataType.fromDDL(cavlc.MOTION_TYPE))
+
+    def run(table):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        found = cabac.decode_sequence(sorted(table.to_pylist(), key=lambda r: r["seq"]), tables)
+        return pa.Table.from_pylist([{n: r[n] for n in out.names} for r in found], schema=to_arrow_schema(out))
+
+    return rows.groupBy("video", "_epoch", "_alone").applyInArrow(run, out)
 
 
-def h264_vectors(slices: DataFrame, skip_every: int = 0) -> DataFrame:
-    """Vectors of P slices without CABAC: video, frame, seq, source, w, h, cx, cy, mv_x, mv_y and end points.
+def h264_vectors(slices: DataFrame, skip_every: int = 0, tables: Tables | None = None, b_slices: bool = False) -> DataFrame:
+    """Vectors: video, frame, seq, source, w, h, cx, cy, mv_x, mv_y and end points.
 
-    ``seq`` orders a picture's rows; vectors of no length are among them. I slices, which
-    have no vectors, aren't decoded.
+    Of P slices with variable-length codes; with ``tables`` of all P slices, and of B slices
+    if ``b_slices``. ``seq`` orders a picture's rows; vectors of no length are among them.
     """
-    return vectors_of(h264_motion(slices, skip_every, ("P",)))
+    if b_slices and tables:
+        return vectors_of(h264_sequences(slices, tables, skip_every))
+    return vectors_of(h264_motion(slices, skip_every, ("P",), tables))
 
 
 def vectors_of(found: DataFrame, kept: tuple[str, ...] = ("video", "frame")) -> DataFrame:
     """Rows of decoded slices' partitions, with the columns ``kept`` of their slices."""
     blocks = found.select(*kept, "width_mbs", F.explode("motion.blocks").alias("_b")).select(*kept, "width_mbs", "_b.*")
-    used, none = F.lit(True), F.lit(0)
-    part = lambda v: F.struct(used.alias("l0"), (~used).alias("l1"), v["x"].alias("x0"), v["y"].alias("y0"), none.alias("x1"), none.alias("y1"))
     place = {"mbx": F.col("mb") % F.col("width_mbs"), "mby": F.floor(F.col("mb") / F.col("width_mbs")).cast("int")}
-    rows = expand(blocks.withColumns({**place, "parts": F.transform("vectors", part)}).drop("vectors", "width_mbs"))
+    rows = expand(blocks.withColumns(place).drop("width_mbs"))
     rows = rows.withColumn("seq", F.col("mb") * 8 + F.col("turn"))
     return export(rows.select(*kept, "seq", "source", "w", "h", "cx", "cy", "mv_x", "mv_y"), "h264")
 

@@ -11,9 +11,11 @@ spatial direct prediction, 8x8 inference and short-term references alone.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import groupby
+from operator import itemgetter
 from pathlib import Path
 
-from kinefield.sources.cavlc import INTRA, MISSING, PARTS, QUARTERS, SIDES, Broken, Slice
+from kinefield.sources.cavlc import INTRA, MISSING, PARTS, QUARTERS, SIDES, Broken, Slice, told
 
 # Fixed values of the published standard: states after a least probable bin, by state, and
 # places of coefficients' contexts in blocks of 8x8.
@@ -552,3 +554,30 @@ class ArithmeticSlice(Slice):
             self.blocks.append((mb, shape, parts[:2]))
         else:
             self.blocks.append((mb, "8x8", parts))
+
+
+def slice_of(payload: bytes, head: dict, sps: dict, pps: dict, tables: Tables | None, collocated: Collocated | None = None) -> Slice:
+    """A slice of either kind of codes, to be decoded."""
+    if pps["cabac"]:
+        return ArithmeticSlice(payload, head, sps, pps, tables, collocated)
+    return Slice(payload, head, sps, pps)
+
+
+#: Reference pictures whose motion is held.
+HELD = 16
+
+
+def decode_sequence(rows: list[dict], tables: Tables) -> list[dict]:
+    """Slices in order, with ``motion``; ``col_frame``: the picture that a B slice looks at."""
+    held: dict[int, Collocated] = {}
+    for frame, group in groupby(rows, key=itemgetter("frame")):
+        own = Collocated()
+        for r in group:
+            found = slice_of(r["payload"], r["head"], r["sps"], r["pps"], tables, held.get(r["col_frame"]))
+            r["motion"] = told(found)
+            own.add(found)
+        if r["is_ref"]:
+            held[frame] = own
+            if len(held) > HELD:
+                del held[next(iter(held))]
+    return rows

@@ -4,10 +4,12 @@ import random
 
 import pytest
 
+from kinefield.plans import extract as E
+from kinefield.plans.pictures import h264_slices, h264_vectors
 from kinefield.sources import cabac as A
-from kinefield.sources import cavlc as C
-from tests.test_cavlc import Writer
-from tests.test_syntax import pack
+from kinefield.sources import video
+from tests.test_cavlc import CENTRES, Writer, _escaped
+from tests.test_syntax import pack, se, ue
 
 
 def table_text(seed=1):
@@ -512,3 +514,66 @@ def test_tables(tmp_path):
     for bad in ("context,1,2", "range,1,1,1,1", "other,1"):
         with pytest.raises(ValueError):
             A.parse_tables(bad)
+
+
+def stream(rng, n=9):
+    """Pictures of two slices (IDR at 0 and 5, B at odd places but the last), and their vectors.
+
+    Each B picture, which no other one refers to, comes after the P picture that it precedes.
+    """
+    sps = b"\x67" + pack(f"{77:08b}", "0" * 16, ue(0), ue(0), ue(0), ue(0), ue(2), "0", ue(2), ue(2), "1", "1")
+    pps = b"\x68" + pack(ue(0), ue(0), "10", ue(0), ue(0), ue(0), "000", se(0), se(0), se(0), "000")
+    units, want, held = [sps, pps], [], {}
+    for frame in range(n):
+        base = 0 if frame < 5 else 5
+        kind = "I" if frame == base else "PB"[(frame - base) % 2 == 0]
+        poc = 0 if kind == "I" else 2 * (frame - base + 1) if kind == "P" else 2 * (frame - base - 1)
+        if kind == "I":
+            held = {}
+        later, earlier = sorted(p for p in held if p > poc), sorted((p for p in held if p < poc), reverse=True)
+        near = (later + earlier + [None])[0]
+        motion, shapes = {}, {}
+        for first, count in ((0, 4), (4, 5)):
+            writer = Arithmetic(rng, 3, 3, first, 1, (2, 1), 0, kind, 26, 0, held.get(near, ({}, {})))
+            ref = kind != "B"
+            bits = [ue(first), ue({"I": 7, "P": 5, "B": 6}[kind]), ue(0), f"{frame - base:04b}", ue(0) if kind == "I" else "", f"{poc:04b}"]
+            bits += ["1"] if kind == "B" else []
+            bits += ["1", ue(1), ue(0) if kind == "B" else ""] if kind != "I" else []
+            bits += ["0"] * (0 if kind == "I" else 2 if kind == "B" else 1)
+            bits += ["00" if kind == "I" else "0"] if ref else []
+            bits += [ue(0)] if kind != "I" else []
+            lead = "".join([*bits, se(0)])
+            lead += "1" * (-len(lead) % 8)
+            data = int(lead, 2).to_bytes(len(lead) // 8, "big") + writer.write(count)
+            units.append(bytes([0x65 if kind == "I" else 0x61 if ref else 0x01]) + data)
+            motion |= writer.corners()
+            shapes |= {mb: shape for mb, shape, _ in writer.want}
+            for mb, shape, parts in writer.want:
+                for k in (0, 1):
+                    if any(p[k] for p in parts):
+                        centres = zip(CENTRES[shape], parts)
+                        want += [(frame, 16 * (mb % 3) + x, 16 * (mb // 3) + y, 2 * k - 1, *p[2 + 2 * k : 4 + 2 * k]) for (x, y), p in centres]
+        if kind != "B":
+            held[poc] = (motion, shapes)
+    return b"".join(b"\0\0\1" + _escaped(u) for u in units), want
+
+
+def test_stream_with_b_slices(spark, tmp_path):
+    data, want = stream(random.Random(7))
+    units = video.units(spark.createDataFrame([("a.264", bytearray(data)), ("b.264", bytearray(data))], "path string, content binary")).cache()
+    slices = h264_slices(units)
+    got = h264_vectors(slices, tables=TABLES, b_slices=True).filter("video = 'b.264'")
+    got = sorted(tuple(r) for r in got.select("frame", "cx", "cy", "source", "mv_x", "mv_y").collect())
+    assert got == sorted(want) and {w[0] for w in want} == {1, 2, 3, 4, 6, 7, 8}
+    one_way = sorted(w for w in want if w[0] in (1, 3, 6, 8))
+    got = h264_vectors(slices, tables=TABLES).filter("video = 'a.264'")
+    assert sorted(tuple(r) for r in got.select("frame", "cx", "cy", "source", "mv_x", "mv_y").collect()) == one_way
+    (tmp_path / "t").write_text(table_text())
+    counted = E.counters(units, E.Options(tables=str(tmp_path / "t"), b_slices=True)).first()
+    assert (counted.frames, counted.cabac_decoded, counted.b_decoded, counted.parse_errors, counted.unsupported) == (9, 12, 6, 0, 0)
+    counted = E.counters(units).first()
+    assert (counted.cabac_decoded, counted.b_skipped, counted.unsupported) == (0, 6, 12)
+    rows = E.extract(units, E.Options(tables=str(tmp_path / "t"), b_slices=True, l0_only=True))
+    assert {r.source for r in rows.select("source").distinct().collect()} == {-1}
+    with pytest.raises(ValueError):
+        E.Options(b_slices=True)
