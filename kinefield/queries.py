@@ -12,7 +12,7 @@ from kinefield.operators import prediction as M
 from kinefield.operators import vectors as V
 from kinefield.plans import field
 from kinefield.plans import pictures as plan_pictures
-from kinefield.sources import mvcsv, nal, syntax
+from kinefield.sources import cavlc, mvcsv, nal, syntax
 
 _COLS = ["seq", "frame", "source", "src_x", "src_y", "dst_x", "dst_y"]
 
@@ -682,6 +682,30 @@ def b_hevc_headers(spark, sf_dir) -> DataFrame:
     )
 
 
+@query(_BASE + "select seq, frame, -1 as source, cx, cy, mvx as mv_x, mvy as mv_y from mv")
+def d_h264_cavlc(spark, sf_dir) -> DataFrame:
+    """Each picture written as the bits of a P slice with variable-length codes, and decoded."""
+    blocks = field.blocks(spark, sf_dir).select("frame", "bx", "by_", F.lit(0).alias("ref"), "mvx", "mvy")
+    # No skipped macroblock, one part, the difference to the predictor, no coefficients.
+    plain = X.ue_bits(F.lit(0))
+    coded = F.concat(plain, plain, X.se_bits(F.col("dx")), X.se_bits(F.col("dy")), plain)
+    ordered = F.array_sort(F.collect_list(F.struct("by_", "bx", coded.alias("bits"))))
+    slices = M.median_prediction(blocks).groupBy("frame").agg(ordered.alias("mbs"))
+    number = lambda **values: F.struct(*(F.lit(v).alias(k) for k, v in values.items()))
+    found = slices.select(
+        *(F.lit(0).alias("video"), "frame", F.lit(8).alias("width_mbs")),
+        cavlc.motion(
+            X.packed(F.array_join("mbs.bits", "")),
+            number(data_bit=0, slice_type="P", num_ref_l0=1, first_mb=0),
+            number(width_in_mbs=8, height_in_map_units=8, frame_mbs_only=1, chroma_format_idc=1),
+            number(transform_8x8_mode=0),
+        ).alias("motion"),
+    )
+    rows = plan_pictures.vectors_of(found)
+    seq = F.col("frame").cast("long") * 64 + F.floor(F.col("seq") / 8)
+    return rows.select(seq.alias("seq"), "frame", "source", "cx", "cy", "mv_x", "mv_y")
+
+
 @query(
     _BASE
     + """select video, count(*)::bigint as blocks, count(distinct frame)::bigint as pictures, sum((source = -1)::int)::bigint as list0, sum((source = 1)::int)::bigint as list1,
